@@ -1,0 +1,384 @@
+"""Files whose JSON fields drift: find renames, unify the files, report each deviation.
+
+Every file is profiled object by object (keys, JSON types, hashed value
+features). Per parent path the keys that are not listed are scored against the
+listed fields by value sketch, type, name similarity and by how surprising it is
+that the two never stand in one object. For each version of an object, that is
+each set of keys found, a maximum-weight bipartite matching between its unlisted
+keys and the listed fields it lacks decides which keys are renamed fields.
+Parents are resolved before their children, so fields beneath a renamed object
+are compared under their listed paths.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import zlib
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from stackloom.session import materialize
+
+#: Width of the hashed value sketch of a key.
+SKETCH_WIDTH = 4096
+#: Pairs of a key and a listed field from this score on may be matched.
+MIN_SCORE = 0.6
+#: Share of a key's objects that may hold the listed field as well.
+MAX_TOGETHER = 0.05
+#: Weights of value sketch, JSON type, name and exclusion in a pair's score.
+WEIGHTS = (0.35, 0.15, 0.2, 0.3)
+
+_NUMBER = re.compile(r"^[vV]?-?[0-9][0-9,]*(\.[0-9]+)?%?$")
+_OBJS = "array<struct<parent: string, cells: array<struct<key: string, type: string, feats: array<int>>>>>"
+
+
+def _json_type(v: object) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "integer"
+    if isinstance(v, float):
+        return "number"
+    return "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+
+
+def _features(v: object) -> list[str]:
+    """What a value looks like, whether or not it is quoted."""
+    if v is None:
+        return []
+    if isinstance(v, bool):
+        return ["b"]
+    if isinstance(v, (int, float)):
+        size = int(abs(v)).bit_length() if abs(v) < 1e300 else 1000
+        return [f"n{'-' if v < 0 else ''}{size}"] + (["frac"] if isinstance(v, float) and v != int(v or 0) else [])
+    if isinstance(v, str):
+        if len(v) <= 24 and _NUMBER.match(v):
+            try:
+                text = v.strip("vV%").replace(",", "")
+                return [*_features(float(text) if "." in text else int(text)), f"v{v}"]
+            except ValueError:
+                pass
+        shape = re.sub(r"\s+", " ", re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", v[:200])))
+        if len(shape) > 24 or shape.count(" ") > 3:
+            return ["text", "text", f"l{len(v).bit_length()}", *(f"w{w}" for w in v[:200].lower().split()[:4])]
+        start = re.sub(r"\W+", "-", shape)[:5]
+        return [f"p{shape}", f"q{start}", f"q{start}"] + ([] if "9" in shape else [f"v{v}"])
+    if isinstance(v, list):
+        if not v:
+            return ["empty"]
+        return ["list", *(f"e{_json_type(x)}:{f}" for x in v[:3] for f in (sorted(x) if isinstance(x, dict) else _features(x)[:2]))]
+    return [f"k{k}" for k in v] or ["empty"]
+
+
+def _objects(value: dict, parent: str = "") -> Iterator[tuple[str, dict]]:
+    """Every object that is reached without entering an array, with its path."""
+    todo = [(parent, value)]
+    while todo:
+        path, obj = todo.pop()
+        yield path, obj
+        todo += [(f"{path}.{k}" if path else k, v) for k, v in obj.items() if isinstance(v, dict)]
+
+
+def _load(text: str | None) -> dict | None:
+    try:
+        got = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        objs = []
+        for text in pdf["content"]:
+            value = _load(text)
+            objs.append(
+                None
+                if value is None
+                else [
+                    {"parent": path, "cells": [{"key": k, "type": _json_type(v), "feats": [zlib.crc32(f.encode("utf-8", "replace")) % SKETCH_WIDTH for f in _features(v)]} for k, v in obj.items()]}
+                    for path, obj in _objects(value)
+                ]
+            )
+        yield pd.DataFrame({"kind": pdf["kind"], "file_id": pdf["file_id"], "written_at": pdf["written_at"], "objs": objs})
+
+
+def profile_files(files: DataFrame) -> DataFrame:
+    """kind, file_id, objs: of each readable file the keys of its objects; one row a file.
+
+    ``files`` has kind, file_id, written_at, content. Only the compact profile is
+    shuffled to find the last delivery of a file, not its content. Files that are
+    not a JSON object, or null, are left out.
+    """
+    schema = f"kind string, file_id bigint, written_at timestamp, objs {_OBJS}"
+    rows = files.select("kind", "file_id", F.col("written_at").cast("timestamp").alias("written_at"), "content")
+    made = rows.mapInPandas(_profile, schema).filter("objs IS NOT NULL")
+    return made.groupBy("kind", "file_id").agg(F.max_by("objs", F.struct(F.coalesce("written_at", F.timestamp_micros(F.lit(-(2**60)))), F.xxhash64("objs"))).alias("objs"))
+
+
+def _name_similarity(a: str, b: str) -> float:
+    ta, tb = ([t.lower() for t in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", x)] for x in (a, b))
+    ja, jb = "".join(ta), "".join(tb)
+    if ja == jb:
+        return 1.0
+    both = set(ta) & set(tb)
+    overlap = len(both) / max(len(set(ta) | set(tb)), 1)
+    short, long_ = sorted((ja, jb), key=len)
+    it = iter(long_)
+    abbreviated = bool(short) and short[0] == long_[0] and all(c in it for c in short)
+    return max(overlap, 0.7 if abbreviated else 0.0, SequenceMatcher(None, ja, jb).ratio() * 0.8)
+
+
+@F.pandas_udf(T.DoubleType())
+def _name_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def best_assignment(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
+    """Maximum-weight bipartite matching of (key, field, score > 0) pairs, by successive best augmenting paths."""
+    keys = sorted({p[0] for p in pairs})
+    fields = sorted({p[1] for p in pairs})
+    n, m = len(keys), len(fields)
+    size = max(n, m)
+    cost = [[0.0] * (size + 1) for _ in range(size + 1)]
+    for k, f, s in pairs:
+        cost[keys.index(k) + 1][fields.index(f) + 1] = -s
+    u, v, match = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1)
+    for row in range(1, size + 1):
+        match[0], col = row, 0
+        slack, back, seen = [float("inf")] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        while True:
+            seen[col] = True
+            at, delta, nxt = match[col], float("inf"), 0
+            for j in range(1, size + 1):
+                if not seen[j]:
+                    reduced = cost[at][j] - u[at] - v[j]
+                    if reduced < slack[j]:
+                        slack[j], back[j] = reduced, col
+                    if slack[j] < delta:
+                        delta, nxt = slack[j], j
+            for j in range(size + 1):
+                if seen[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    slack[j] -= delta
+            col = nxt
+            if match[col] == 0:
+                break
+        while col:
+            match[col] = match[back[col]]
+            col = back[col]
+    return [(keys[match[j] - 1], fields[j - 1]) for j in range(1, m + 1) if match[j] <= n and cost[match[j]][j] < 0]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("leaf", T.StringType())])))
+def _assign(pairs: pd.Series) -> pd.Series:
+    return pd.Series([[{"key": k, "leaf": f} for k, f in best_assignment([(p["key"], p["leaf"], p["score"]) for p in ps])] for ps in pairs])
+
+
+def _listed(fields: DataFrame) -> DataFrame:
+    split = fields.filter("record_kind IS NOT NULL AND field_path IS NOT NULL").dropDuplicates(["record_kind", "field_path"]).select(
+        F.col("record_kind").alias("kind"),
+        F.when(F.instr("field_path", ".") > 0, F.regexp_replace("field_path", r"\.[^.]*$", "")).otherwise("").alias("canon"),
+        F.substring_index("field_path", ".", -1).alias("leaf"),
+        "field_path",
+        "json_type",
+        F.coalesce("is_optional", F.lit(False)).alias("is_optional"),
+    )
+    inner = split.select("kind", F.col("canon").alias("field_path"), F.lit(True).alias("has_fields")).distinct()
+    return split.join(inner, ["kind", "field_path"], "left").fillna(False, ["has_fields"])
+
+
+def _pair_scores(objs: DataFrame, listed: DataFrame) -> DataFrame:
+    """kind, canon, key, leaf, score of the pairs that may be matched."""
+    here = ["kind", "canon"]
+    cells = objs.select(*here, F.explode("cells").alias("c")).select(*here, "c.*")
+    keys = cells.groupBy(*here, "key").agg(F.count("*").alias("n"), F.mode("type").alias("type"))
+    feats = cells.select(*here, "key", F.explode("feats").alias("feat")).groupBy(*here, "key", "feat").count()
+    sums = feats.groupBy(*here, "key").agg(F.sum("count").alias("all"))
+    sketch = feats.join(sums, [*here, "key"]).select(*here, "key", "feat", (F.col("count") / F.col("all")).alias("p"))
+    leaves = listed.select(*here, "leaf", "json_type")
+    unlisted = keys.join(leaves.select(*here, F.col("leaf").alias("key")), [*here, "key"], "left_anti")
+    objects = objs.groupBy(*here).agg(F.count("*").alias("objects"))
+    own = keys.select(*here, F.col("key").alias("leaf"), F.col("n").alias("own_n"))
+    pairs = unlisted.join(leaves, here).join(own, [*here, "leaf"], "left").join(objects, here).fillna(0, ["own_n"])
+    together = objs.select(*here, F.explode("unlisted").alias("key"), "present").select(*here, "key", F.explode("present").alias("leaf")).groupBy(*here, "key", "leaf").agg(F.count("*").alias("together"))
+    left, right = sketch.alias("a"), sketch.select(*here, F.col("key").alias("leaf"), "feat", F.col("p").alias("q")).join(leaves.drop("json_type"), [*here, "leaf"])
+    shared = left.join(unlisted.select(*here, "key"), [*here, "key"]).join(right, [*here, "feat"]).groupBy(*here, "key", "leaf").agg(F.sum(F.least("p", "q")).alias("alike"))
+    got = pairs.join(together, [*here, "key", "leaf"], "left").join(shared, [*here, "key", "leaf"], "left").fillna(0, ["together", "alike"])
+    same = (F.col("type") == F.col("json_type")) | ((F.col("type") == "integer") & (F.col("json_type") == "number"))
+    a, b, c, d = WEIGHTS
+    apart = 1 - F.pow(F.lit(1.0) - F.col("own_n") / F.col("objects"), F.col("n"))
+    seen = a * F.col("alike") + b * same.cast("double") + c * F.col("name") + d * apart
+    unseen = 0.3 * same.cast("double") + 0.7 * F.col("name")  # nothing to compare values with
+    scored = got.withColumn("name", _name_score("key", "leaf")).withColumn("score", F.when(F.col("own_n") > 0, seen).otherwise(unseen))
+    return scored.filter((F.col("together") <= MAX_TOGETHER * F.col("n")) & (F.col("score") >= MIN_SCORE)).select(*here, "key", "leaf", "score")
+
+
+def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which key of which file carries which listed field, and every deviation.
+
+    ``files``: kind, file_id, written_at, content. ``fields``: record_kind,
+    field_path, json_type, is_optional. Returns
+
+    * cells: kind, file_id, raw_path, field_path (null for an added key), type
+    * changes: kind, file_id, field_path, change_kind ('renamed', 'removed',
+      'added', 'retyped')
+
+    Defined cases: unreadable files give nothing; of repeated deliveries the last
+    counts; a null value is never retyped; what lies inside arrays, added keys,
+    retyped values and listed objects without listed fields is not compared; the
+    fields beneath a removed object are removed as well; an empty table of files
+    gives no rows. Other columns are ignored.
+    """
+    objs = profile_files(files).select("kind", "file_id", F.explode("objs").alias("o")).select("kind", "file_id", F.col("o.parent").alias("raw"), F.col("o.cells").alias("cells"))
+    objs = materialize(objs, "objects")
+    listed = materialize(_listed(fields), "listed")
+    here, who = ["kind", "canon"], ["kind", "file_id"]
+    arrays = listed.groupBy(*here).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # as long as the schema
+    level = objs.filter("raw = ''").withColumn("canon", F.lit(""))
+    depth = (listed.agg(F.max(F.size(F.split("field_path", r"\.")))).first()[0] or 0)
+    all_cells: list[DataFrame] = []
+    for _ in range(depth):
+        cur = level.join(arrays, here).withColumn("keys", F.expr("transform(cells, c -> c.key)"))
+        cur = cur.withColumns(
+            {
+                "unlisted": F.sort_array(F.array_except("keys", "leaves")),
+                "present": F.array_intersect("leaves", "keys"),
+                "missing": F.sort_array(F.array_except("leaves", "keys")),
+            }
+        )
+        cur = materialize(cur, "level")
+        scores = materialize(_pair_scores(cur, listed), "scores")
+        version = [*here, "unlisted", "missing"]
+        versions = cur.filter("size(unlisted) > 0 AND size(missing) > 0").select(*version).distinct()
+        options = versions.withColumn("key", F.explode("unlisted")).join(scores, [*here, "key"]).filter("array_contains(missing, leaf)")
+        chosen = options.groupBy(*version).agg(F.sort_array(F.collect_list(F.struct("key", "leaf", "score"))).alias("pairs"))
+        renames = chosen.select(*version, _assign("pairs").alias("renames"))
+        done = cur.join(renames, version, "left").withColumn("renames", F.coalesce("renames", F.expr("cast(array() as array<struct<key: string, leaf: string>>)")))
+        done = done.withColumn("to", F.map_from_entries("renames"))
+        path = lambda parent, leaf: F.when(F.col(parent) == "", leaf).otherwise(F.concat(F.col(parent), F.lit("."), leaf))
+        present = done.select(*who, "canon", "raw", "leaves", "to", F.explode("cells").alias("c")).select(
+            *who,
+            path("raw", F.col("c.key")).alias("raw_path"),
+            path("canon", F.when(F.array_contains("leaves", F.col("c.key")), F.col("c.key")).otherwise(F.col("to")[F.col("c.key")])).alias("field_path"),
+            F.col("c.type").alias("type"),
+            (~F.array_contains("leaves", F.col("c.key"))).alias("other_key"),
+        )
+        gone = done.select(*who, "canon", F.explode(F.array_except("missing", F.map_values("to"))).alias("leaf")).select(
+            *who, F.lit(None).cast("string").alias("raw_path"), path("canon", F.col("leaf")).alias("field_path"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("other_key")
+        )
+        cells = materialize(present.unionByName(gone), "cells")
+        all_cells.append(cells)
+        inner = cells.filter("type = 'object' AND field_path IS NOT NULL").join(listed.filter("has_fields").select("kind", "field_path"), ["kind", "field_path"])
+        level = objs.join(inner.select(*who, F.col("raw_path").alias("raw"), F.col("field_path").alias("canon")), [*who, "raw"])
+    spark = files.sparkSession
+    none = spark.createDataFrame([], "kind string, file_id bigint, raw_path string, field_path string, type string, other_key boolean")
+    cells = none
+    for part in all_cells:
+        cells = cells.unionByName(part)
+    facts = listed.select("kind", "field_path", "json_type", "is_optional", "has_fields")
+    known = cells.filter("field_path IS NOT NULL").join(facts, ["kind", "field_path"])
+    fits = (F.col("type") == F.col("json_type")) | ((F.col("type") == "integer") & (F.col("json_type") == "number")) | (F.col("type") == "null")
+    label = F.filter(
+        F.array(
+            F.when(F.col("type").isNotNull() & F.col("other_key"), "renamed"),
+            F.when(F.col("type").isNotNull() & ~fits, "retyped"),
+            F.when(F.col("type").isNull() & ~F.col("is_optional"), "removed"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    changes = known.select(*who, "field_path", F.explode(label).alias("change_kind"))
+    missing = known.filter("type IS NULL AND has_fields").select(*who, F.col("field_path").alias("above"))
+    below = missing.join(facts.filter("NOT is_optional").select("kind", "field_path"), "kind").filter("startswith(field_path, above || '.')")
+    added = cells.filter("field_path IS NULL").select(*who, F.col("raw_path").alias("field_path"), F.lit("added").alias("change_kind"))
+    changes = changes.unionByName(added).unionByName(below.select(*who, "field_path", F.lit("removed").alias("change_kind")))
+    return cells.filter("raw_path IS NOT NULL").drop("other_key"), changes
+
+
+def field_aliases(cells: DataFrame, kind: str, paths: list[str]) -> dict[str, list[str]]:
+    """Raw paths under which the given listed fields stand, the listed path first.
+
+    The rows collected are the distinct names of a few fields, counted first.
+    """
+    names = cells.filter((F.col("kind") == kind) & F.col("field_path").isin(paths)).groupBy("field_path", "raw_path").count()
+    names = materialize(names, "aliases")
+    if names.count() > 10_000:
+        raise ValueError("a listed field stands under more than 10,000 names; join on cells instead")
+    out: dict[str, list[str]] = {p: [p] for p in paths}
+    for r in sorted(names.collect(), key=lambda r: (-r["count"], r["raw_path"])):
+        if r["raw_path"] not in out[r["field_path"]]:
+            out[r["field_path"]].append(r["raw_path"])
+    return out
+
+
+def _convert(value: object, json_type: str) -> tuple[object, bool]:
+    """The value in the listed type, and whether nothing was lost."""
+    if value is None:
+        return None, True
+    if json_type in ("array", "object"):
+        fits = isinstance(value, list if json_type == "array" else dict)
+        if json_type == "array" and isinstance(value, str):
+            return json.dumps(value.split(","), ensure_ascii=False), True
+        return (json.dumps(value, ensure_ascii=False), True) if fits else (None, False)
+    if json_type == "string":
+        if isinstance(value, list) and all(isinstance(x, str) for x in value):
+            return "\n".join(value), True
+        if isinstance(value, dict) and len(value) == 1 and isinstance(one := next(iter(value.values())), str):
+            return one, True
+        return (value, True) if isinstance(value, str) else (json.dumps(value, ensure_ascii=False), True)
+    if json_type == "boolean":
+        return (value, True) if isinstance(value, bool) else (None, False)
+    text = str(value).strip("vV% ").replace(",", "") if isinstance(value, (str, int, float)) and not isinstance(value, bool) else ""
+    try:
+        number = float(text) if json_type == "number" else int(text)
+    except ValueError:
+        return None, False
+    return (number, True) if json_type == "number" or -(2**63) <= number < 2**63 else (None, False)
+
+
+def unify(files: DataFrame, cells: DataFrame, fields: DataFrame, kind: str) -> DataFrame:
+    """One row a file: file_id, one column per listed field of ``kind`` (dots become underscores), other.
+
+    Columns have the listed type (arrays and objects as JSON text). A retyped
+    value is converted where nothing is lost; else the column is null and the
+    value stays, like the added keys, in the map ``other`` from path to JSON text.
+    """
+    spec = sorted((r["field_path"], r["json_type"]) for r in fields.filter(F.col("record_kind") == kind).select("field_path", "json_type").distinct().collect())  # one row a column of the result
+    sql = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+    schema = "file_id bigint, " + ", ".join(f"`{p.replace('.', '_')}` {sql.get(t, 'string')}" for p, t in spec) + ", other map<string,string>"
+    types = dict(spec)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file_id, text, places in zip(pdf["file_id"], pdf["content"], pdf["places"]):
+                value, row, other = _load(text) or {}, {"file_id": file_id}, {}
+                for place in places:
+                    got: object = value
+                    for step in place["steps"]:
+                        got = got.get(step) if isinstance(got, dict) else None
+                    path = place["field_path"]
+                    if path is None:
+                        other[place["raw_path"]] = json.dumps(got, ensure_ascii=False)
+                        continue
+                    made, whole = _convert(got, types[path])
+                    row[path.replace(".", "_")] = made
+                    if not whole:
+                        other[place["raw_path"]] = json.dumps(got, ensure_ascii=False)
+                rows.append((*(row.get(c) for c in ["file_id", *(p.replace(".", "_") for p, _ in spec)]), other))
+            yield pd.DataFrame(rows, columns=["file_id", *(p.replace(".", "_") for p, _ in spec), "other"], dtype=object)
+
+    mine = cells.filter(F.col("kind") == kind)
+    places = mine.groupBy("file_id").agg(F.collect_list(F.struct("field_path", "raw_path", F.split("raw_path", r"\.").alias("steps"))).alias("places"))
+    good = files.filter((F.col("kind") == kind) & F.col("content").isNotNull())
+    stamp = F.struct(F.try_parse_json("content").isNotNull(), F.coalesce(F.col("written_at").cast("timestamp"), F.timestamp_micros(F.lit(-(2**60)))))
+    last = good.groupBy("file_id").agg(F.max_by("content", stamp).alias("content"))
+    return last.join(places, "file_id").mapInPandas(build, schema)
