@@ -1,4 +1,4 @@
-"""Files whose JSON fields drift: find renames, unify the files, report each deviation.
+"""Files whose JSON fields change: find renames, unify the files, report each deviation.
 
 Every file is profiled object by object (keys, JSON types, hashed value
 features). Per parent path the keys that are not listed are scored against the

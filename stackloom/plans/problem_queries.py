@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackloom.operators import drift, hierarchy, intervals, shred
+from stackloom.operators import evolution, hierarchy, intervals, shred
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,14 @@ def _stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, changes = drift.resolve(_stored_files(spark, sf_dir), _read(spark, sf_dir, "schema_fields"))
+    _, changes = evolution.resolve(_stored_files(spark, sf_dir), _read(spark, sf_dir, "schema_fields"))
     return changes.select(F.col("kind").alias("record_kind"), "file_id", "field_path", "change_kind")
 
 
 def _unified(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     files, fields = _stored_files(spark, sf_dir).filter(F.col("kind") == kind), _read(spark, sf_dir, "schema_fields")
-    cells, _ = drift.resolve(files, fields)
-    return drift.unify(files, cells, fields, kind)
+    cells, _ = evolution.resolve(files, fields)
+    return evolution.unify(files, cells, fields, kind)
 
 
 def p1_stored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan_entities(spark: SparkSession, sf_dir: str) -> tuple[shred.Entity, ...]:
-    """Where the arrays of a stored scan stand, under every name that drift resolution gives them."""
+    """Where the arrays of a stored scan stand, under every name that field resolution gives them."""
     scans = _stored_files(spark, sf_dir).filter("kind = 'stored_scan'")
-    cells, _ = drift.resolve(scans, _read(spark, sf_dir, "schema_fields"))
-    names = drift.field_aliases(cells, "stored_scan", ["report.entries", "pickerRoots"])
+    cells, _ = evolution.resolve(scans, _read(spark, sf_dir, "schema_fields"))
+    names = evolution.field_aliases(cells, "stored_scan", ["report.entries", "pickerRoots"])
     ways = lambda path: tuple(tuple(p.split(".")) for p in names[path])
     return (
         shred.Entity("tree_node", ways("report.entries"), recursive="children"),
