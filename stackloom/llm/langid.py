@@ -52,7 +52,7 @@ _CODE = re.compile(
     r"```[a-z]*|`[^`\n]*`"
     r"|^\W*(?i:file) \"[^\"\n]*\", (?i:line) \d+.*$"
     r"|^[ \t]*(?:at|in|from) \S+[ \t]*\(.*\)[ \t]*$"
-    r"|^[ \t]*#\d+[ \t]+0x[0-9a-fA-F]+.*$"
+    r"|^[ \t]*#\d+[ \t]+0[xX][0-9a-fA-F]+.*$"
     r"|^[ \t]*Traceback .*$"
     r"|https?://\S+"
     r"|<(?:locals|lambda|module)>"
