@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -13,6 +14,8 @@ from stackloom.session import materialize
 
 ALPHA, TOLERANCE, MAX_ITERATIONS = 0.85, 1e-6, 100
 MAX_DEPTH, MAX_ROOTS, MIN_REACH = 12, 200, 2
+#: Graphs up to this many edges are given to every task whole; beyond it joins take over.
+SMALL_EDGES = 200_000
 
 
 def enclosing_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -176,13 +179,47 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(big, "component").select("id", "component")
 
 
+def _reach_small(sources: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
+    """The same with the edges (counted, at most SMALL_EDGES) at hand in every task: a breadth-first walk per source."""
+    pairs = [(r["src"], r["dst"]) for r in step.collect()]
+    kind = dict(sources.dtypes)["id"]
+    shared = sources.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = defaultdict(list)
+        for a, b in shared.value:
+            out[a].append(b)
+        for pdf in batches:
+            rows = []
+            for root in pdf["id"]:
+                hops, front = {root: 0}, [root]
+                while front and (max_depth is None or hops[front[0]] < max_depth):
+                    fresh = dict.fromkeys(b for a in front for b in out[a] if b not in hops)
+                    hops.update(dict.fromkeys(fresh, hops[front[0]] + 1))
+                    front = list(fresh)
+                rows += [(root, k, h) for k, h in hops.items()]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["root", "id", "hops"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["root", "id", "hops"])
+
+    return sources.select("id").distinct().mapInPandas(run, f"root {kind}, id {kind}, hops int")
+
+
 def reachable(sources: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, id, hops of everything each source (column id) reaches, itself included.
 
-    A round extends only the pairs found last and drops those known already, so
-    cycles end. The result has as many rows as the reaches add up to.
+    A small graph is walked source by source. For a larger one a round extends
+    only the pairs found last and drops those known already, so cycles end. The
+    result has as many rows as the reaches add up to.
     """
-    step = edges.select("src", "dst").distinct()
+    step = materialize(edges.select("src", "dst").distinct(), "steps")
+    if step.count() <= SMALL_EDGES:
+        return _reach_small(sources, step, max_depth)
+    return _reach_joins(sources, step, max_depth)
+
+
+def _reach_joins(sources: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
     found = front = materialize(sources.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct(), "reach")
     hops = 0
     while max_depth is None or hops < max_depth:

@@ -57,7 +57,7 @@ def function_rollup(samples: DataFrame, by: list[str] | None = None) -> DataFram
         F.sum("weight_us").alias("cumulative_us"),
         F.avg(F.when(is_leaf, F.col("cpu"))).alias("cpu_avg"),
         F.min("f.place.file").alias("file"),
-        F.min(F.struct(F.col("f.place.file"), F.col("f.place.line")))["line"].alias("line"),
+        F.min(F.when(F.col("f.place.file").isNotNull(), F.struct(F.col("f.place.file"), F.col("f.place.line"))))["line"].alias("line"),
     )
     return out.withColumn("percall_us", F.when(F.col("ncalls") > 0, F.col("total_us") / F.col("ncalls")).otherwise(0.0))
 
