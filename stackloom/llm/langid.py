@@ -50,13 +50,13 @@ LANGUAGE_NAMES = {
 
 _CODE = re.compile(
     r"```[a-z]*|`[^`\n]*`"
-    r"|^\W*(?i:file) \"[^\"\n]*\", (?i:line) \d+.*$"
+    r"|^[^\w\n]*(?i:file) \"[^\"\n]*\", (?i:line) \d+.*$"
     r"|^[ \t]*(?:at|in|from) \S+[ \t]*\(.*\)[ \t]*$"
     r"|^[ \t]*#\d+[ \t]+0[xX][0-9a-fA-F]+.*$"
     r"|^[ \t]*Traceback .*$"
     r"|https?://\S+"
     r"|<(?:locals|lambda|module)>"
-    r"|[A-Za-z0-9_$<>]*(?:[._/\;:<>#=@$~()\[\]-]+[A-Za-z0-9_$<>]+)*[A-Za-z0-9_$<>]*(?<=[A-Za-z0-9_>])(?:[._/\;:#=@$][A-Za-z0-9_<>$]+)[A-Za-z0-9_./\;:#=@$<>()-]*"
+    r"|(?<![A-Za-z0-9_$<>-])[./]*[A-Za-z0-9_$<>-]+(?:[./\\;:#=@]+[A-Za-z0-9_$<>()-]+)+"
     r"|\b[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*\b"
     r"|\b[A-Za-z0-9]*_[A-Za-z0-9_]*\b"
     r"|\b[a-z]+(?:-[a-z]+)+\b(?=[^a-z]|$)"
