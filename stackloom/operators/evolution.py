@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -102,7 +103,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 None
                 if value is None
                 else [
-                    {"parent": path, "cells": [{"key": k, "type": _json_type(v), "feats": [zlib.crc32(f.encode("utf-8", "replace")) % SKETCH_WIDTH for f in _features(v)]} for k, v in obj.items()]}
+                    {"parent": path, "cells": [{"key": "", "type": "", "feats": []}] + [{"key": k, "type": _json_type(v), "feats": [zlib.crc32(f.encode("utf-8", "replace")) % SKETCH_WIDTH for f in _features(v)]} for k, v in obj.items()]}
                     for path, obj in _objects(value)
                 ]
             )
@@ -135,9 +136,19 @@ def _name_similarity(a: str, b: str) -> float:
     return max(overlap, 0.7 if abbreviated else 0.0, SequenceMatcher(None, ja, jb).ratio() * 0.8)
 
 
-@F.pandas_udf(T.DoubleType())
-def _name_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(T.StructType([T.StructField("sketch", T.DoubleType()), T.StructField("name", T.DoubleType())]))
+def _likeness(key: pd.Series, leaf: pd.Series, sketch: pd.Series, own: pd.Series) -> pd.DataFrame:
+    def shared(p: list | None, q: list | None) -> float:
+        if p is None or q is None or not len(p) or not len(q):
+            return 0.0
+        left, right = Counter(), Counter()
+        for counts, entries in ((left, p), (right, q)):
+            for x in entries:  # a feature stands once for each type it occurred in
+                counts[x["feat"]] += x["count"]
+        n, m = sum(left.values()), sum(right.values())
+        return sum(min(v / n, right[f] / m) for f, v in left.items() if f in right)
+
+    return pd.DataFrame({"sketch": [shared(p, q) for p, q in zip(sketch, own)], "name": [_name_similarity(x, y) for x, y in zip(key, leaf)]}, dtype="float64")
 
 
 def best_assignment(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
@@ -197,29 +208,38 @@ def _listed(fields: DataFrame) -> DataFrame:
 
 
 def _pair_scores(objs: DataFrame, listed: DataFrame) -> DataFrame:
-    """kind, canon, key, leaf, score of the pairs that may be matched."""
+    """kind, canon, key, leaf, score of the pairs that may be matched.
+
+    A key's profile is one row: its objects, usual type and value sketch, which has
+    at most SKETCH_WIDTH entries. The pseudo key '' stands once in every object and
+    so counts them.
+    """
     here = ["kind", "canon"]
     cells = objs.select(*here, F.explode("cells").alias("c")).select(*here, "c.*")
-    keys = cells.groupBy(*here, "key").agg(F.count("*").alias("n"), F.mode("type").alias("type"))
-    feats = cells.select(*here, "key", F.explode("feats").alias("feat")).groupBy(*here, "key", "feat").count()
-    sums = feats.groupBy(*here, "key").agg(F.sum("count").alias("all"))
-    sketch = feats.join(sums, [*here, "key"]).select(*here, "key", "feat", (F.col("count") / F.col("all")).alias("p"))
+    feats = cells.select(*here, "key", "type", F.explode(F.concat("feats", F.array(F.lit(-1)))).alias("feat")).groupBy(*here, "key", "type", "feat").count()
+    # feature -1 is given once a cell: its count is the number of cells
+    marked = F.col("feat") == -1
+    profiles = feats.groupBy(*here, "key").agg(
+        F.sum(F.when(marked, F.col("count"))).alias("n"),
+        F.max_by("type", F.when(marked, F.struct("count", "type"))).alias("type"),
+        F.collect_list(F.when(~marked, F.struct("feat", "count"))).alias("sketch"),
+    )
+    profiles = materialize(profiles, "profiles")
     leaves = listed.select(*here, "leaf", "json_type")
-    unlisted = keys.join(leaves.select(*here, F.col("leaf").alias("key")), [*here, "key"], "left_anti")
-    objects = objs.groupBy(*here).agg(F.count("*").alias("objects"))
-    own = keys.select(*here, F.col("key").alias("leaf"), F.col("n").alias("own_n"))
-    pairs = unlisted.join(leaves, here).join(own, [*here, "leaf"], "left").join(objects, here).fillna(0, ["own_n"])
-    together = objs.select(*here, F.explode("unlisted").alias("key"), "present").select(*here, "key", F.explode("present").alias("leaf")).groupBy(*here, "key", "leaf").agg(F.count("*").alias("together"))
-    left, right = sketch.alias("a"), sketch.select(*here, F.col("key").alias("leaf"), "feat", F.col("p").alias("q")).join(leaves.drop("json_type"), [*here, "leaf"])
-    shared = left.join(unlisted.select(*here, "key"), [*here, "key"]).join(right, [*here, "feat"]).groupBy(*here, "key", "leaf").agg(F.sum(F.least("p", "q")).alias("alike"))
-    got = pairs.join(together, [*here, "key", "leaf"], "left").join(shared, [*here, "key", "leaf"], "left").fillna(0, ["together", "alike"])
+    own = profiles.select(*here, F.col("key").alias("leaf"), F.col("n").alias("own_n"), F.col("sketch").alias("own_sketch"))
+    fields = leaves.join(own, [*here, "leaf"], "left").join(profiles.filter("key = ''").select(*here, F.col("n").alias("objects")), here)
+    together = objs.select(*here, F.explode("unlisted").alias("key"), "present")
+    together = together.select(*here, "key", F.explode("present").alias("leaf")).groupBy(*here, "key", "leaf").agg(F.count("*").alias("together"))
+    unlisted = profiles.filter("key <> ''").join(leaves.select(*here, F.col("leaf").alias("key")), [*here, "key"], "left_anti")
+    pairs = unlisted.join(fields, here).join(together, [*here, "key", "leaf"], "left").fillna(0, ["own_n", "together"]).filter(F.col("together") <= MAX_TOGETHER * F.col("n"))
     same = (F.col("type") == F.col("json_type")) | ((F.col("type") == "integer") & (F.col("json_type") == "number"))
     a, b, c, d = WEIGHTS
     apart = 1 - F.pow(F.lit(1.0) - F.col("own_n") / F.col("objects"), F.col("n"))
-    seen = a * F.col("alike") + b * same.cast("double") + c * F.col("name") + d * apart
-    unseen = 0.3 * same.cast("double") + 0.7 * F.col("name")  # nothing to compare values with
-    scored = got.withColumn("name", _name_score("key", "leaf")).withColumn("score", F.when(F.col("own_n") > 0, seen).otherwise(unseen))
-    return scored.filter((F.col("together") <= MAX_TOGETHER * F.col("n")) & (F.col("score") >= MIN_SCORE)).select(*here, "key", "leaf", "score")
+    got = pairs.withColumn("like", _likeness("key", "leaf", "sketch", "own_sketch"))
+    seen = a * F.col("like.sketch") + b * same.cast("double") + c * F.col("like.name") + d * apart
+    unseen = 0.3 * same.cast("double") + 0.7 * F.col("like.name")  # nothing to compare values with
+    scored = got.withColumn("score", F.when(F.col("own_n") > 0, seen).otherwise(unseen))
+    return scored.filter(F.col("score") >= MIN_SCORE).select(*here, "key", "leaf", "score")
 
 
 def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +267,7 @@ def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     depth = (listed.agg(F.max(F.size(F.split("field_path", r"\.")))).first()[0] or 0)
     all_cells: list[DataFrame] = []
     for _ in range(depth):
-        cur = level.join(arrays, here).withColumn("keys", F.expr("transform(cells, c -> c.key)"))
+        cur = level.join(arrays, here).withColumn("keys", F.expr("filter(transform(cells, c -> c.key), k -> k <> '')"))
         cur = cur.withColumns(
             {
                 "unlisted": F.sort_array(F.array_except("keys", "leaves")),
@@ -265,7 +285,7 @@ def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
         done = cur.join(renames, version, "left").withColumn("renames", F.coalesce("renames", F.expr("cast(array() as array<struct<key: string, leaf: string>>)")))
         done = done.withColumn("to", F.map_from_entries("renames"))
         path = lambda parent, leaf: F.when(F.col(parent) == "", leaf).otherwise(F.concat(F.col(parent), F.lit("."), leaf))
-        present = done.select(*who, "canon", "raw", "leaves", "to", F.explode("cells").alias("c")).select(
+        present = done.select(*who, "canon", "raw", "leaves", "to", F.explode(F.expr("filter(cells, c -> c.key <> '' OR c.type <> '')")).alias("c")).select(
             *who,
             path("raw", F.col("c.key")).alias("raw_path"),
             path("canon", F.when(F.array_contains("leaves", F.col("c.key")), F.col("c.key")).otherwise(F.col("to")[F.col("c.key")])).alias("field_path"),
