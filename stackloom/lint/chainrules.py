@@ -170,7 +170,7 @@ def chain_rows(records: DataFrame) -> DataFrame:
         "loop_selects": F.coalesce("loop_selects", F.lit(False)), "length_read": F.coalesce("length_read", F.lit(False)), "in_loop": F.coalesce("in_loop", F.lit(False)),
         "steps": F.coalesce("steps", F.expr("cast(array() as array<struct<method: string, args: array<string>, line: int>>)")),
         "base": F.when(F.col("root").isin("this", "self", ""), F.coalesce(F.get("methods", F.lit(0)), F.lit(""))).otherwise(F.col("root")),
-    })
+    }).withColumn("tracks", F.array_compact(F.array(*[F.when(F.expr(gate(t)), t) for t in GATES])))
 
 
 def gate(track: str) -> str:
@@ -184,7 +184,7 @@ def apply_chain_rules(rows: DataFrame, rules: list[ChainRule] | None = None) ->
     rules = RULES if rules is None else rules
     cases = [
         F.when(
-            F.expr(f"record_kind = {r.record!r} AND ({gate(r.track)}) AND coalesce({r.when}, false)"),
+            F.expr(f"array_contains(tracks, {r.track!r}) AND record_kind = {r.record!r} AND coalesce({r.when}, false)"),
             F.struct(F.lit(r.id).alias("rule_id"), F.lit(f"{r.track}_antipattern").alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.effort).alias("effort"), F.lit(r.confidence).alias("confidence")),
         )
         for r in rules
@@ -215,7 +215,7 @@ def predict(rows: DataFrame) -> DataFrame:
             "op": F.lit("select"), "n_tables": F.lit(1), "projection": F.lit("unspecified"), "per_outer_row": false, "has_where": false, "where_or": false, "where_function": false, "where_depth": F.lit(0), "like_leading": false,
             "n_joins": F.lit(0), "cartesian": false, "join_without_on": false, "row_limit": null.cast("bigint"), "row_offset": null.cast("bigint"), "ordered": false, "fidelity": F.lit("skeletal"),
         }
-        part = rows.filter(F.expr(f"record_kind = 'chain' AND ({gate(orm)}) AND coalesce({when}, false)"))
+        part = rows.filter(F.expr(f"array_contains(tracks, {orm!r}) AND record_kind = 'chain' AND coalesce({when}, false)"))
         made = {**base, **facts}
         return part.select("file", "line", "byte_start", "byte_end", F.lit(orm).alias("orm"), *[v.alias(k) for k, v in made.items()], "in_loop")
 
