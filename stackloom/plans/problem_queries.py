@@ -56,7 +56,10 @@ def _scan_entities(spark: SparkSession, sf_dir: str) -> tuple[shred.Entity, ...]
 def _last_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a file: the last delivery that can be read."""
     stamp = F.struct(F.try_parse_json("content").isNotNull(), "written_at")
-    return _read(spark, sf_dir, "stored_scans").filter("content IS NOT NULL").groupBy("file_id").agg(F.max_by("content", stamp).alias("content"))
+    rows = _read(spark, sf_dir, "stored_scans").filter("content IS NOT NULL").select("file_id", "written_at", "content")
+    # an explicit number keeps the partitions apart: they are small in bytes, but parsing them takes long
+    spread = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "file_id")
+    return spread.groupBy("file_id").agg(F.max_by("content", stamp).alias("content"))
 
 
 #: Of the samples only the leaves from which rows are rebuilt; the scan reads no other column.
