@@ -158,7 +158,7 @@ def chain_rows(records: DataFrame) -> DataFrame:
     imports = records.filter("record_kind = 'import'").groupBy("file").agg(F.sort_array(F.collect_set("module_path")).alias("imports"))
     chains = records.filter("record_kind IN ('chain', 'decorator')").withColumn("methods", F.coalesce(F.col("steps.method"), F.array().cast("array<string>")))
     facts = chains.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_set("methods"))).alias("file_methods"))
-    uses = chains.filter("record_kind = 'chain' AND root <> ''").groupBy("file", "root").agg(F.count("*").alias("root_uses"))
+    uses = records.filter("record_kind IN ('chain', 'loop') AND root <> ''").groupBy("file", "root").agg(F.count("*").alias("root_uses"))
     selects = chains.filter("in_loop AND (array_contains(methods, 'execute') OR array_contains(methods, 'scalars')) AND exists(flatten(steps.args), a -> contains(a, 'select('))").select("file", "loop_id").distinct().withColumn("loop_selects", F.lit(True))
     lengths = chains.filter("array_contains(methods, 'length')").select("file", F.col("root").alias("bound_to")).distinct().withColumn("length_read", F.lit(True))
     fields = model_fields(records).groupBy("file").agg(F.collect_set("field").alias("relation_fields"), F.collect_set(F.when(F.col("is_collection"), F.col("field"))).alias("collection_fields"))

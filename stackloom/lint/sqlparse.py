@@ -371,6 +371,8 @@ class Parser:
                 out = ("group",)
             self.need(")")
         else:
+            if self.word() in _STOP - {"VALUES", "SET", "FOR"}:
+                raise SqlError("expected a table")
             self.name()
             out = ("table",)
             if self.word() == "(":
