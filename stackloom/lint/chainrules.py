@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stackloom.functions.scalar import severity_rank
 from stackloom.session import materialize
 
 # -- vocabulary of the predicates, as SQL over a chain row
@@ -299,43 +299,42 @@ def render_sql(width: int = 200) -> Column:
     return F.when(F.length(text) > width, F.concat(F.left(text, F.lit(width - 1)), F.lit("…"))).otherwise(text)
 
 
-_FUSED = "file string, line int, byte_start bigint, byte_end bigint, kind string, rule_id string, severity string, effort string, confidence double, fused array<string>"
+#: Bytes of code within which overlaps are looked for together.
+BLOCK = 4096
 
 
 def fuse(chain_findings: DataFrame, ir_findings: DataFrame) -> DataFrame:
     """Findings of both kinds, those on overlapping code merged: confidences by noisy-or, the higher severity.
 
-    Each finding on a chain takes, in order, all findings on predicted statements
-    that overlap it and are not yet taken; the rest stay by themselves. The order
-    decides, so a file is one unit of work.
+    A finding on a predicted statement belongs to the first finding on a chain (by
+    position, then rule) that overlaps it; those that overlap none stay by
+    themselves. ``fused`` lists the rules taken in. Equal findings count once.
     """
-    keep = ["file", "line", "byte_start", "byte_end", "kind", "rule_id", "severity", "effort", "confidence"]
-    both = chain_findings.select(*keep, F.lit(0).alias("side")).unionByName(ir_findings.select(*keep, F.lit(1).alias("side")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = {"low": 1, "medium": 2, "high": 3}
-        pdf = pdf.sort_values(["side", "byte_start", "byte_end", "rule_id"], kind="stable")
-        first, second = pdf[pdf["side"] == 0].to_dict("records"), pdf[pdf["side"] == 1].to_dict("records")
-        taken, out = set(), []
-        for f in first:
-            f["fused"] = []
-            for i, s in enumerate(second):
-                if i not in taken and f["byte_start"] < s["byte_end"] and s["byte_start"] < f["byte_end"]:
-                    taken.add(i)
-                    f["confidence"] = 1 - (1 - f["confidence"]) * (1 - s["confidence"])
-                    f["severity"] = max(f["severity"], s["severity"], key=rank.get)
-                    f["fused"].append(s["rule_id"])
-            out.append(f)
-        out += [{**s, "fused": []} for i, s in enumerate(second) if i not in taken]
-        return pd.DataFrame(out, columns=[*keep, "fused"])
-
-    return both.groupBy("file").applyInPandas(run, _FUSED)
+    key = ["file", "byte_start", "byte_end", "line", "rule_id"]
+    keep = [*key, "kind", "severity", "effort", "confidence"]
+    first, second = chain_findings.select(*keep).dropDuplicates(key), ir_findings.select(*keep).dropDuplicates(key)
+    blocks = F.explode(F.sequence(F.floor(F.col("byte_start") / BLOCK), F.floor(F.greatest("byte_end", "byte_start") / BLOCK)))
+    a = first.select(F.col("file").alias("a_file"), blocks.alias("a_block"), F.struct("byte_start", "byte_end", "rule_id", "line").alias("a"))
+    b = second.withColumn("block", blocks)
+    over = (b["file"] == a["a_file"]) & (b["block"] == a["a_block"]) & (F.col("a.byte_start") < F.col("byte_end")) & (F.col("byte_start") < F.col("a.byte_end"))
+    owned = b.join(a, over).groupBy(*keep).agg(F.min("a").alias("a"))
+    rank = severity_rank(F.col("severity"))
+    taken = owned.groupBy("file", "a").agg(F.sort_array(F.collect_list(F.struct("rule_id", (1 - F.col("confidence")).alias("doubt")))).alias("in"), F.max_by("severity", rank).alias("other"), F.max(rank).alias("other_rank"))
+    taken = taken.select(F.col("file").alias("t_file"), "a", F.col("in.rule_id").alias("fused"), F.aggregate("in", F.lit(1.0), lambda x, y: x * y["doubt"]).alias("doubt"), "other", "other_rank")
+    here = F.struct("byte_start", "byte_end", "rule_id", "line")
+    none = F.array().cast("array<string>")
+    merged = first.withColumn("__h", here).join(taken, (F.col("file") == F.col("t_file")) & (F.col("__h") == F.col("a")), "left").select(
+        *key, "kind", F.when(F.col("other_rank") > rank, F.col("other")).otherwise(F.col("severity")).alias("severity"), "effort",
+        (1 - (1 - F.col("confidence")) * F.coalesce("doubt", F.lit(1.0))).alias("confidence"), F.coalesce("fused", none).alias("fused"),
+    )
+    alone = second.join(owned.select(*key), key, "left_anti").select(*keep).withColumn("fused", none)
+    return merged.unionByName(alone)
 
 
 def scan_workspace(records: DataFrame) -> DataFrame:
     """All findings of all files. Extraction and the chain rows are stored once, as many branches read them."""
     rows = materialize(chain_rows(materialize(records, "records")), "chains")
-    return fuse(apply_chain_rules(rows), apply_ir_rules(predict(rows)))
+    return fuse(materialize(apply_chain_rules(rows), "fired"), materialize(apply_ir_rules(predict(rows)), "predicted"))
 
 
 def rule_histogram(findings: DataFrame) -> DataFrame:
@@ -348,7 +347,8 @@ def attach_findings(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes``: root, node_ord, depth, file, line, loc, root_loc, root_is_module.
     """
     n = nodes.select(F.col("file").alias("n_file"), F.col("line").alias("n_line"), (F.col("line") + F.greatest("loc", F.lit(1))).alias("n_end"), "root", "node_ord", "depth", "root_loc", "root_is_module")
-    hit = findings.join(n, (F.col("file") == F.col("n_file")) & F.col("line").between(F.col("n_line"), F.col("n_end")), "left")
+    n = n.withColumn("n_block", F.explode(F.sequence(F.floor(F.col("n_line") / 128), F.floor(F.col("n_end") / 128))))  # lines are matched within blocks
+    hit = findings.join(n, (F.col("file") == F.col("n_file")) & (F.floor(F.col("line") / 128) == F.col("n_block")) & F.col("line").between(F.col("n_line"), F.col("n_end")), "left")
     order = F.struct("root_is_module", "root_loc", (-F.col("depth")).alias("d"), "root", "node_ord")
     keys = [c for c in findings.columns if c != "fused"]
     return hit.groupBy(*keys).agg(F.min_by(F.struct("root", "node_ord"), order).alias("__n")).select(*keys, "__n.*")

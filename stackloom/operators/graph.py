@@ -48,7 +48,8 @@ def source_ids(references: DataFrame, symbols: DataFrame) -> DataFrame:
 def resolve_edges(sourced: DataFrame, symbols: DataFrame) -> DataFrame:
     """src, dst, ord of calls to symbols of the called name: distinct, without self-recursion; ord is the first reference."""
     names = symbols.select("name", F.col("id").alias("dst")).distinct()
-    return sourced.join(names, "name").filter("src <> dst").groupBy("src", "dst").agg(F.min("ref_ord").alias("ord"))
+    once = sourced.groupBy("src", "name").agg(F.min("ref_ord").alias("ref_ord"))  # a caller repeats its calls
+    return once.join(names, "name").filter("src <> dst").groupBy("src", "dst").agg(F.min("ref_ord").alias("ord"))
 
 
 def external_calls(sourced: DataFrame, symbols: DataFrame, imports: DataFrame, modules: DataFrame, receivers: DataFrame, methods: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stackloom.functions.scalar import basename
+from stackloom.session import materialize
 
 #: Offsets are matched within blocks of this many units, so that a long file is many join keys.
 BLOCK = 4096
@@ -47,8 +48,7 @@ TIERS = [
 MIN_CONFIDENCE, ALTERNATIVES = 0.5, 3
 
 
-def _same(a: str, b: str) -> Column:
-    return F.coalesce((F.col(a) == F.col(b)) & (F.col(a) != ""), F.lit(False))
+_TIER_KEYS = [["file", "qualified_name"], ["base", "qualified_name"], ["file", "parent_class"], ["file"], ["base", "parent_class"], ["base"]]
 
 
 def fuzzy_join(sampled: DataFrame, static: DataFrame) -> DataFrame:
@@ -57,23 +57,30 @@ def fuzzy_join(sampled: DataFrame, static: DataFrame) -> DataFrame:
     Both sides have node_id, name, file, qualified_name, parent_class. An equal id
     gives confidence 1 and no alternatives; other nodes are compared with the
     static nodes of the same name only. A node without a match has one row with
-    nulls. Ties are ranked by static id.
+    nulls. Ties are ranked by static id. Null and empty fields match nothing.
+
+    Each tier is an equi-join on the name and the tier's fields. Four results are
+    wanted at most, so of the static nodes that share a tier's key only the four
+    smallest ids take part: however many nodes share a name, no list of pairs
+    forms.
     """
-    side = static.select(*[F.col(c).alias(f"t_{c}") for c in ("node_id", "name", "file", "qualified_name", "parent_class")])
     ids = static.select("node_id").distinct()
-    exact = sampled.join(ids, "node_id", "left_semi").select("node_id", F.lit(1).alias("rank"), F.col("node_id").alias("static_node_id"), F.lit(1.0).alias("confidence"), F.lit("exact node_id match").alias("reason"))
-    rest = sampled.join(ids, "node_id", "left_anti").withColumn("base", basename(F.col("file")))
-    pairs = rest.join(side.withColumn("t_base", basename(F.col("t_file"))), F.col("name") == F.col("t_name"))
-    file, base, qual = _same("file", "t_file"), _same("base", "t_base"), _same("qualified_name", "t_qualified_name")
-    owner, name = _same("parent_class", "t_parent_class"), _same("name", "t_name")
-    holds = [file & qual, base & qual, file & owner & name, file & name, base & owner & name, base & name]
-    tier = F.lit(None)
-    for (score, why), cond in reversed(list(zip(TIERS, holds))):
-        tier = F.when(cond, F.struct(F.lit(score).alias("score"), F.lit(why).alias("why"))).otherwise(tier)
-    scored = pairs.withColumn("tier", tier).filter(F.col("tier.score") >= MIN_CONFIDENCE)
-    best = scored.groupBy("node_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("tier.score")).alias("s"), "t_node_id", F.col("tier.why").alias("why")))), 1, 1 + ALTERNATIVES).alias("c"))
-    ranked = best.select("node_id", F.posexplode("c").alias("i", "m")).select("node_id", (F.col("i") + 1).alias("rank"), F.col("m.t_node_id").alias("static_node_id"), (-F.col("m.s")).alias("confidence"), F.col("m.why").alias("reason"))
-    none = rest.join(best, "node_id", "left_anti").select("node_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("static_node_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    exact = sampled.join(ids, "node_id", "left_semi").select("node_id", F.lit(1).alias("rank"), F.col("node_id").alias("static_node_id"), F.lit(1.0).alias("confidence"), F.lit("exact node_id match").alias("reason")).distinct()
+    rest = sampled.join(ids, "node_id", "left_anti").withColumn("base", basename(F.col("file"))).select("node_id", "name", "file", "base", "qualified_name", "parent_class")
+    side = static.withColumn("base", basename(F.col("file"))).select(F.col("node_id").alias("t_id"), "name", "file", "base", "qualified_name", "parent_class")
+    wanted = 1 + ALTERNATIVES
+    pairs: DataFrame | None = None
+    for (score, why), fields in zip(TIERS, _TIER_KEYS):
+        key = ["name", *fields]
+        full = F.expr(" AND ".join(f"{c} <> ''" for c in key))
+        few = side.filter(full).select(*key, "t_id").distinct().withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("t_id"))).filter(F.col("__n") <= wanted).drop("__n")
+        part = rest.filter(full).join(few, key).select("node_id", "t_id", F.lit(score).alias("score"), F.lit(why).alias("why"))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    # a pair counts by its first tier; a node has at most four pairs a tier
+    one = pairs.groupBy("node_id", "t_id").agg(F.max("score").alias("score"), F.max_by("why", F.struct("score", F.expr("why = 'same basename + same qualified_name'"))).alias("why"))
+    best = one.groupBy("node_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "t_id", "why"))), 1, wanted).alias("c"))
+    ranked = best.select("node_id", F.posexplode("c").alias("i", "m")).select("node_id", (F.col("i") + 1).alias("rank"), F.col("m.t_id").alias("static_node_id"), (-F.col("m.s")).alias("confidence"), F.col("m.why").alias("reason"))
+    none = rest.join(best, "node_id", "left_anti").select("node_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("static_node_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason")).distinct()
     return exact.unionByName(ranked).unionByName(none)
 
 
@@ -89,8 +96,18 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
-    """Adds the value of the row before, the row's own where there is none."""
-    return df.withColumn(name, F.coalesce(F.lag(value).over(W.partitionBy(*keys).orderBy(order)), F.col(value)))
+    """Adds the value of the row before, the row's own where there is none.
+
+    Rows are range-partitioned by key and order, so a key with very many rows is
+    spread over tasks; the first row of a key in a partition takes its value from
+    the last one before it, found among one row per key and partition.
+    """
+    spread = materialize(df.repartitionByRange(*keys, order).withColumn("__p", F.spark_partition_id()), "ordered")
+    here = spread.withColumn("__n", F.row_number().over(W.partitionBy("__p", *keys).orderBy(order))).withColumn("__v", F.lag(F.struct(value)).over(W.partitionBy("__p", *keys).orderBy(order)))
+    ends = spread.groupBy("__p", *keys).agg(F.max_by(F.struct(value), order).alias("__e"))
+    ends = ends.withColumn("__before", F.lag("__e").over(W.partitionBy(*keys).orderBy("__p"))).filter("__before IS NOT NULL").select(F.lit(1).alias("__n"), "__p", *keys, "__before")
+    joined = here.join(ends, ["__n", "__p", *keys], "left")
+    return joined.withColumn(name, F.coalesce(F.col("__v")[value], F.col("__before")[value], F.col(value))).select(*df.columns, name)
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
