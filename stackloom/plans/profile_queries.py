@@ -241,7 +241,7 @@ def call_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_site_counts(refs, _symbols(spark, sf_dir))
 
 
-def p90_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def floor_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.floor_percentile(_read(spark, sf_dir, "events"), "value", 0.9)
 
 
@@ -329,6 +329,6 @@ QUERIES = {
     for f in (
         function_rollup, statistics_cards, call_tree, callers_callees, focus_totals, frame_filter, hotspots, sample_conservation, leaf_exclude, system_frames, node_ids, window_metadata, event_violations, log_metadata,
         window_counts, trace_bundle, window_backfill, latest_per_key, previous_baseline, status_pivot, three_level_totals, upsert, language_share, report_diff, set_diff, interval_containment, fuzzy_join, fan_in_out, pagerank_5,
-        reach_counts, strong_components, discover_roots, dead_code, call_site_counts, p90_floor_index, findings, findings_by_category, top_findings, refactor_candidates, call_trees, sql_lint, code_scan,
+        reach_counts, strong_components, discover_roots, dead_code, call_site_counts, floor_percentile, findings, findings_by_category, top_findings, refactor_candidates, call_trees, sql_lint, code_scan,
     )
 }

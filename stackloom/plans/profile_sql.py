@@ -240,7 +240,7 @@ SELECT s.id, s.name, r.reach FROM sym s JOIN rc r ON r.root = s.id WHERE s.kind
     "dead_code": _GRAPH.replace("WITH RECURSIVE g", f"WITH RECURSIVE {_SYMBOLS.strip()}, g") + """
 SELECT id, name, file, line FROM sym WHERE kind <> 'class' AND NOT starts_with(name, '<') AND id NOT IN (SELECT dst FROM g) AND line >= 50""",
     "call_site_counts": f"WITH {_SYMBOLS}, r AS (SELECT 'fN' || (o_orderkey % 500) AS name, count(*) AS n FROM orders GROUP BY 1) SELECT id, CAST(coalesce(sum(n), 0) AS BIGINT) AS call_sites FROM sym LEFT JOIN r USING (name) GROUP BY id",
-    "p90_floor_index": "SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) WHERE i = least(CAST(floor(0.9 * n) AS BIGINT), n - 1)",
+    "floor_percentile": "SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) WHERE i = least(CAST(floor(0.9 * n) AS BIGINT), n - 1)",
     "findings": _FINDINGS + " SELECT id, kind, severity, effort, confidence, line, evidence FROM found",
     "findings_by_category": _FINDINGS + f" SELECT {_CATEGORY} AS category, count(*) AS n FROM found GROUP BY 1",
     "top_findings": _FINDINGS + f""", o AS (SELECT f.id, f.kind, f.severity, s.file, f.line, {_RANK} AS r FROM found f JOIN sym s ON s.id = f.id
