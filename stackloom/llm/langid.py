@@ -64,6 +64,7 @@ _CODE = re.compile(
     re.MULTILINE,
 )
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+(?:[.!?。！？…]+(?=\s|$|[\"')»”’]|(?<=[。！？]))|\n|$|[.!?…]+)")
+_LETTER, _WIDE = re.compile(r"[^\W\d_]"), re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _MARKS = str.maketrans("áàâãäåéèêëíìîïóòôõöúùûüñçýÿăőű", "aaaaaaeeeeiiiiooooouuuuncyyaou")
 
 
@@ -78,14 +79,15 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SENTENCE.finditer(prose):
         words = " ".join(m.group().split())
-        if any(c.isalpha() for c in words):
+        if _LETTER.search(words):
             out.append((m.start(), m.end(), words))
     return out
 
 
 def _letters(text: str) -> int:
     """Letters, an ideograph or kana counted as two and a half, as it stands for as much prose."""
-    return int(sum(2.5 if ord(c) > 0x2E7F else 1.0 for c in text if c.isalpha()))
+    count = sum(map(str.isalpha, text))
+    return count if text.isascii() else int(count + 1.5 * len(_WIDE.findall(text)))
 
 
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +121,12 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         """Log probability of each text under each language, up to a common term."""
         out = np.zeros((len(texts), len(self.languages)))
-        for at in range(0, len(texts), 2000):
-            part = texts[at : at + 2000]
+        columns = np.ascontiguousarray(self.weights.T, dtype=np.float64)  # one language's weights fit into a core's cache
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
             owner, bucket = ngram_buckets(part)
-            for lang in range(len(self.languages)):
-                out[at : at + len(part), lang] = np.bincount(owner, self.weights[bucket, lang], len(part))
+            for lang, weights in enumerate(columns):
+                out[at : at + len(part), lang] = np.bincount(owner, weights[bucket], len(part))
         return out
 
 
