@@ -16,6 +16,8 @@ ALPHA, TOLERANCE, MAX_ITERATIONS = 0.85, 1e-6, 100
 MAX_DEPTH, MAX_ROOTS, MIN_REACH = 12, 200, 2
 #: Graphs up to this many edges are given to every task whole; beyond it joins take over.
 SMALL_EDGES = 200_000
+#: Reach is counted by components in graphs with more edges a vertex than this.
+CONDENSE_FROM = 1.0
 
 
 def enclosing_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -234,7 +236,24 @@ def _reach_joins(sources: DataFrame, step: DataFrame, max_depth: int | None) ->
 
 
 def reach_counts(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    return reachable(sources, edges).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reach"))
+    """id, reach: how many vertices each source reaches, itself included.
+
+    With more than CONDENSE_FROM edges a vertex large components are likely. Their
+    members reach the same, so pairs are then formed between components only and
+    the components' sizes added up.
+    """
+    step = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "steps")
+    ends = step.select(F.col("src").alias("id")).union(step.select("dst")).distinct().count()
+    if step.count() <= CONDENSE_FROM * ends:
+        return reachable(sources, step).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reach"))
+    parts = materialize(strong_components(step), "components")
+    sizes = parts.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("size"))
+    label = lambda df, c: df.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
+    between = label(label(step, "src"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).filter("src <> dst").distinct()
+    starts = label(sources.select("id").distinct(), "id")
+    pairs = reachable(starts.select(F.col("id_part").alias("id")), between)
+    sums = pairs.join(sizes, "id", "left").groupBy(F.col("root").alias("id_part")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("reach"))
+    return starts.join(sums, "id_part").select("id", "reach")
 
 
 def discover_roots(symbols: DataFrame, edges: DataFrame, limit: int = MAX_ROOTS, min_reach: int = MIN_REACH, skip_tests: bool = True) -> DataFrame:

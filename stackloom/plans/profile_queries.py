@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stackloom.functions import predicates as P, scalar as S
 from stackloom.lint import chainrules, sqlrules
 from stackloom.operators import findings as fd, graph, joins, profile, reports
+from stackloom.session import materialize
 from stackloom.sources import code, events as ev
 
 FOCUS = "feed.planner.MediaCodec.fetch_page"
 FILTER = "src !file:planner name:_"
 EXCLUDED = ["/planner.py", "/views.py"]
+#: Symbols of the largest fan-out whose call trees are asked for beside those of the roots.
+TREE_HUBS = 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,11 +191,13 @@ def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fuzzy_join(sampled, static)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A sparse directed graph over customers, from urgent finished orders."""
+def _graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A directed graph over customers: ``whole`` from all orders, else the sparse one of the SQL, from urgent finished orders."""
     customers = _read(spark, sf_dir, "customer")
     n = customers.count()
-    edges = _read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    edges = _read(spark, sf_dir, "orders")
+    if not whole:
+        edges = edges.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
     edges = edges.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31 + 7) % n).alias("dst"), F.col("o_orderkey").alias("ord")).filter("src <> dst").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
     text = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias(c)
     return customers.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id")), edges.select(text("src"), text("dst"), "ord")
@@ -202,6 +207,10 @@ def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fan_in_out(*_graph(spark, sf_dir))
 
 
+def fan_in_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.fan_in_out(*_graph(spark, sf_dir, whole=True))
+
+
 def pagerank_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = _graph(spark, sf_dir)
     e = e.join(v.select(F.col("id").alias("src")), "src").join(v.select(F.col("id").alias("dst")), "dst")
@@ -213,10 +222,19 @@ def reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach_counts(e.select(F.col("src").alias("id")).distinct(), e)
 
 
+def reach_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e = _graph(spark, sf_dir, whole=True)
+    return graph.reach_counts(e.select(F.col("src").alias("id")).distinct(), e)
+
+
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(_graph(spark, sf_dir)[1])
 
 
+def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strong_components(_graph(spark, sf_dir, whole=True)[1])
+
+
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as symbols: names, files and metrics follow from the key."""
     k = F.col("c_custkey")
@@ -231,11 +249,20 @@ def discover_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.discover_roots(_symbols(spark, sf_dir), _graph(spark, sf_dir)[1])
 
 
+def discover_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.discover_roots(_symbols(spark, sf_dir), _graph(spark, sf_dir, whole=True)[1])
+
+
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir)
     return graph.dead_code(s, _graph(spark, sf_dir)[1], s.filter("line < 50")).select("id", "name", "file", "line")
 
 
+def dead_code_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _symbols(spark, sf_dir)
+    return graph.dead_code(s, _graph(spark, sf_dir, whole=True)[1], s.filter("line < 50")).select("id", "name", "file", "line")
+
+
 def call_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _read(spark, sf_dir, "orders").select(F.concat(F.lit("fN"), (F.col("o_orderkey") % 500).cast("string")).alias("name"))
     return graph.call_site_counts(refs, _symbols(spark, sf_dir))
@@ -280,8 +307,11 @@ def refactor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, (_, e) = _symbols(spark, sf_dir), _graph(spark, sf_dir)
-    return graph.tree_percentages(graph.expand_trees(graph.discover_roots(s, e), e))
+    """Trees of the discovered roots and of the symbols that call the most others: a dense graph has few or no roots, and each tree is as large as the graph."""
+    s, (v, e) = _symbols(spark, sf_dir), _graph(spark, sf_dir, whole=True)
+    hubs = graph.top_by(graph.fan_in_out(v, e), "fan_out", ["id"], TREE_HUBS).select("id")
+    roots = materialize(graph.discover_roots(s, e).select("id").union(hubs).distinct(), "roots")
+    return graph.tree_percentages(graph.expand_trees(roots, e))
 
 
 # Statements of one kind each, by the remainder of the part's key.
@@ -330,5 +360,6 @@ QUERIES = {
         function_rollup, statistics_cards, call_tree, callers_callees, focus_totals, frame_filter, hotspots, sample_conservation, leaf_exclude, system_frames, node_ids, window_metadata, event_violations, log_metadata,
         window_counts, trace_bundle, window_backfill, latest_per_key, previous_baseline, status_pivot, three_level_totals, upsert, language_share, report_diff, set_diff, interval_containment, fuzzy_join, fan_in_out, pagerank_5,
         reach_counts, strong_components, discover_roots, dead_code, call_site_counts, floor_percentile, findings, findings_by_category, top_findings, refactor_candidates, call_trees, sql_lint, code_scan,
+        fan_in_out_all, reach_counts_all, strong_components_all, discover_roots_all, dead_code_all,
     )
 }
