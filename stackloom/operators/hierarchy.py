@@ -292,11 +292,24 @@ def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = No
     )
 
 
+def cycle_trees(tree: DataFrame, df: DataFrame, node: str, parent: str, near: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The finite trees under cycles: node_id, top_id, depth, path from the cycle's member that each node hangs on.
+
+    ``tree`` is ``hierarchy`` of the other arguments. Members of a cycle have no
+    order and are no descendants of one another here: each is the root of what
+    hangs on it, itself at depth 0.
+    """
+    cyclic = tree.filter("state IN ('on_cycle', 'below_cycle')").select(F.col("node_id").alias("__cyclic"), (F.col("state") == "on_cycle").alias("__member"))
+    cyclic = materialize(cyclic, "cyclic")
+    rows = df.join(cyclic, df[node].cast("string") == F.col("__cyclic")).withColumn(parent, F.when(~F.col("__member"), F.col(parent)))
+    return hierarchy(rows, node, parent, near, True, task_rows=task_rows).select("node_id", "top_id", "depth", "path")
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """ancestor_id, node_id, distance: every node below every other, from ``hierarchy(..., paths=True)``.
 
     The rows are as many as the depths add up to. Nodes on or below a cycle have
-    no path and so no ancestors here.
+    no path in the tree; ``cycle_trees`` has theirs.
     """
     up = tree.filter("path IS NOT NULL AND size(path) > 1").select("node_id", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("at", "ancestor_id"), F.size("path").alias("n"))
     return up.select("ancestor_id", "node_id", (F.col("n") - 1 - F.col("at")).cast("bigint").alias("distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackloom.operators import evolution, hierarchy, intervals, shred
+from stackloom.session import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,19 +101,40 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select(F.col("node_id").alias("call_id"), fault.alias("fault"), F.col("top_id").alias("top_call_id")).filter("fault IS NOT NULL")
 
 
-def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call's root, depth, path and number of descendants."""
-    tree = _calls_tree(spark, sf_dir, paths=True)
-    below = hierarchy.descendant_counts(tree).withColumnRenamed("ancestor_id", "node_id")
+def _calls_descendants(spark: SparkSession, sf_dir: str, tree: DataFrame) -> DataFrame:
+    """Descendants of every call, those on and below cycles with them."""
+    under = hierarchy.cycle_trees(tree, _read(spark, sf_dir, "call_records"), "call_id", "parent_call_id", ["log_id", "start_us"])
+    return hierarchy.descendants(tree.select("node_id", "path").unionByName(under.select("node_id", "path")))
+
+
+def _counted(tree: DataFrame, below: DataFrame) -> DataFrame:
+    below = below.withColumnRenamed("ancestor_id", "node_id")
     return tree.join(below, "node_id", "left").select(
         F.col("node_id").alias("call_id"), "top_id", "depth", "state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants")
     )
 
 
+def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call's root, depth, path and number of descendants; as in its SQL, nothing is counted on and below cycles."""
+    tree = _calls_tree(spark, sf_dir, paths=True)
+    return _counted(tree, hierarchy.descendant_counts(tree))
+
+
+def p6_hierarchy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the descendants of calls on and below cycles."""
+    tree = materialize(_calls_tree(spark, sf_dir, paths=True), "tree")
+    return _counted(tree, _calls_descendants(spark, sf_dir, tree).groupBy("ancestor_id").agg(F.count("*").alias("n_descendants")))
+
+
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in its SQL, without calls on and below cycles."""
     return hierarchy.descendants(_calls_tree(spark, sf_dir, paths=True))
 
 
+def p6_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls_descendants(spark, sf_dir, materialize(_calls_tree(spark, sf_dir, paths=True), "tree"))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_stored_scans, p1_saved_suggestions, p2_found, p5_found, p5_scan_rows, p5_sample_rows, p6_found, p6_hierarchy, p6_descendants)
+    f.__name__: f for f in (p1_found, p1_stored_scans, p1_saved_suggestions, p2_found, p5_found, p5_scan_rows, p5_sample_rows, p6_found, p6_hierarchy, p6_descendants, p6_hierarchy_all, p6_descendants_all)
 }

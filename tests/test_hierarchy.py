@@ -73,3 +73,41 @@ def test_descendants(spark):
     tree = H.hierarchy(spark.createDataFrame(rows, "c string, p string"), "c", "p", paths=True)
     assert {tuple(r) for r in H.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
     assert {tuple(r) for r in H.descendant_counts(tree).collect()} == {("a", 3), ("b", 1)}
+
+
+@pytest.mark.parametrize("task_rows", [10_000, 20])
+def test_descendants_below_cycles(spark, task_rows):
+    parents, rows = forest(3, far=12)
+    want = set()
+    on = {x for x, (_, _, state, _) in brute(parents).items() if state == "on_cycle"}
+    for x in parents:
+        y, d = x, 0
+        while y not in on and parents[y] in parents:
+            y, d = parents[y], d + 1
+            want.add((y, x, d))
+    assert on and any(a in on for a, _, _ in want)
+    df = spark.createDataFrame(rows, "c string, p string, t int")
+    tree = H.hierarchy(df, "c", "p", ["t"], True, task_rows=task_rows)
+    under = H.cycle_trees(tree, df, "c", "p", ["t"], task_rows)
+    got = H.descendants(tree.select("node_id", "path").unionByName(under.select("node_id", "path")))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_query_of_all_descendants(spark):
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.01"
+    calls = spark.read.parquet(f"{data}/call_records.parquet").select("call_id", "parent_call_id").collect()
+    parents = {}
+    for c, p in sorted(((c, p or None) for c, p in calls if c is not None), key=lambda r: (r[0], r[1] is None, r[1] or "")):
+        parents.setdefault(c, p)
+    states = {x: v[2] for x, v in brute(parents).items()}
+    n = dict.fromkeys(parents, 0)
+    for x in parents:
+        y = x
+        while states[y] != "on_cycle" and parents[y] in parents:
+            y = parents[y]
+            n[y] += 1
+    assert any(n[x] for x in n if states[x] in ("on_cycle", "below_cycle"))
+    assert {r["call_id"]: r["n_descendants"] for r in entry.queries()["p6_hierarchy_all"](spark, data).collect()} == n
+    assert entry.queries()["p6_descendants_all"](spark, data).count() == sum(n.values())
