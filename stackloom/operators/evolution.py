@@ -3,7 +3,7 @@
 Every file is profiled object by object (keys, JSON types, hashed value
 features). Per parent path the keys that are not listed are scored against the
 listed fields by value sketch, type, name similarity and by how surprising it is
-that the two never stand in one object. For each version of an object, that is
+that the key stands where the field is missing and not beside it. For each version of an object, that is
 each set of keys found, a maximum-weight bipartite matching between its unlisted
 keys and the listed fields it lacks decides which keys are renamed fields.
 Parents are resolved before their children, so fields beneath a renamed object
@@ -28,8 +28,6 @@ from stackloom.session import materialize
 SKETCH_WIDTH = 4096
 #: Pairs of a key and a listed field from this score on may be matched.
 MIN_SCORE = 0.6
-#: Share of a key's objects that may hold the listed field as well.
-MAX_TOGETHER = 0.05
 #: Weights of value sketch, JSON type, name and exclusion in a pair's score.
 WEIGHTS = (0.35, 0.15, 0.2, 0.3)
 
@@ -231,10 +229,12 @@ def _pair_scores(objs: DataFrame, listed: DataFrame) -> DataFrame:
     together = objs.select(*here, F.explode("unlisted").alias("key"), "present")
     together = together.select(*here, "key", F.explode("present").alias("leaf")).groupBy(*here, "key", "leaf").agg(F.count("*").alias("together"))
     unlisted = profiles.filter("key <> ''").join(leaves.select(*here, F.col("leaf").alias("key")), [*here, "key"], "left_anti")
-    pairs = unlisted.join(fields, here).join(together, [*here, "key", "leaf"], "left").fillna(0, ["own_n", "together"]).filter(F.col("together") <= MAX_TOGETHER * F.col("n"))
+    pairs = unlisted.join(fields, here).join(together, [*here, "key", "leaf"], "left").fillna(0, ["own_n", "together"]).filter("together < n")  # else no version lacks the field
     same = (F.col("type") == F.col("json_type")) | ((F.col("type") == "integer") & (F.col("json_type") == "number"))
     a, b, c, d = WEIGHTS
-    apart = 1 - F.pow(F.lit(1.0) - F.col("own_n") / F.col("objects"), F.col("n"))
+    # writers may give the old and the new key side by side for a while: that lowers the exclusion by how much the key is as usual beside the field as without it
+    beside, without = F.col("together") / F.greatest("own_n", F.lit(1)), (F.col("n") - F.col("together")) / F.greatest(F.col("objects") - F.col("own_n"), F.lit(1))
+    apart = (1 - F.pow(F.lit(1.0) - F.col("own_n") / F.col("objects"), F.col("n"))) * F.greatest(F.lit(0.0), 1 - beside / without)
     got = pairs.withColumn("like", _likeness("key", "leaf", "sketch", "own_sketch"))
     seen = a * F.col("like.sketch") + b * same.cast("double") + c * F.col("like.name") + d * apart
     unseen = 0.3 * same.cast("double") + 0.7 * F.col("like.name")  # nothing to compare values with

@@ -63,3 +63,24 @@ def test_last_readable_delivery_counts(spark):
     assert [tuple(r) for r in changes.collect()] == [("k", 1, "odd", "added")]
     _, none = E.resolve(df.limit(0), fields)
     assert none.collect() == []
+
+
+def test_old_and_new_key_side_by_side(spark):
+    fields = spark.createDataFrame([*FIELDS, ("k", "savedAt", "string", False)], "record_kind string, field_path string, json_type string, is_optional boolean")
+    for new in (0, 60):
+        docs = [{**base(i), "savedAt": f"2024-05-{1 + i % 28:02d}T09:00:00Z"} for i in range(100 + new)]
+        for i in range(100):
+            docs[i]["saved_at"] = docs[i]["savedAt"] if i < 10 else docs[i].pop("savedAt")
+        cells, changes = E.resolve(files(spark, docs), fields)
+        got = {(r["file_id"], r["field_path"], r["change_kind"]) for r in changes.collect()}
+        assert got == {(i, "saved_at", "added") for i in range(10)} | {(i, "savedAt", "renamed") for i in range(10, 100)}
+        assert E.field_aliases(cells, "k", ["savedAt"]) == {"savedAt": ["savedAt", "saved_at"]}
+
+
+def test_an_added_key_beside_a_field_is_no_rename(spark):
+    docs = [{**base(i), "remark": f"note {i}"} for i in range(60)]
+    for i in range(5):
+        docs[i].pop("name")
+    fields = spark.createDataFrame(FIELDS, "record_kind string, field_path string, json_type string, is_optional boolean")
+    _, changes = E.resolve(files(spark, docs), fields)
+    assert {r["field_path"] for r in changes.collect() if r["change_kind"] == "renamed"} == set()
