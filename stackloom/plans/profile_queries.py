@@ -217,6 +217,13 @@ def pagerank_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(v, e, 5, None).select("id", F.round("rank", 9).alias("rank"))
 
 
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders, until the L1 change is below the tolerance."""
+    v, e = _graph(spark, sf_dir, whole=True)
+    e = e.join(v.select(F.col("id").alias("src")), "src").join(v.select(F.col("id").alias("dst")), "dst")
+    return graph.pagerank(v, e).select("id", F.round("rank", 9).alias("rank"))
+
+
 def reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, e = _graph(spark, sf_dir)
     return graph.reach_counts(e.select(F.col("src").alias("id")).distinct(), e)
@@ -360,6 +367,6 @@ QUERIES = {
         function_rollup, statistics_cards, call_tree, callers_callees, focus_totals, frame_filter, hotspots, sample_conservation, leaf_exclude, system_frames, node_ids, window_metadata, event_violations, log_metadata,
         window_counts, trace_bundle, window_backfill, latest_per_key, previous_baseline, status_pivot, three_level_totals, upsert, language_share, report_diff, set_diff, interval_containment, fuzzy_join, fan_in_out, pagerank_5,
         reach_counts, strong_components, discover_roots, dead_code, call_site_counts, floor_percentile, findings, findings_by_category, top_findings, refactor_candidates, call_trees, sql_lint, code_scan,
-        fan_in_out_all, reach_counts_all, strong_components_all, discover_roots_all, dead_code_all,
+        fan_in_out_all, pagerank, reach_counts_all, strong_components_all, discover_roots_all, dead_code_all,
     )
 }

@@ -1,7 +1,7 @@
 """The graph queries over all orders against brute force on the smallest tables."""
 
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -74,3 +74,19 @@ def test_reach_counts_with_and_without_components(spark, m):
     edges = random_edges(m, 20, m)
     v, e = graph(spark, sorted({x for p in edges for x in p} | {"alone"}), edges)
     assert {tuple(r) for r in G.reach_counts(v, e).collect()} == {(x, len(reach_model(edges, x))) for x in {y for p in edges for y in p} | {"alone"}}
+
+
+def test_pagerank_runs_to_convergence(spark):
+    ids, edges = whole()
+    deg = Counter(a for a, _ in edges)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(300):
+        base = 0.15 / len(ids) + 0.85 * sum(rank[x] for x in ids if not deg[x]) / len(ids)
+        nxt = dict.fromkeys(ids, base)
+        for a, b in edges:
+            nxt[b] += 0.85 * rank[a] / deg[a]
+        rank = nxt
+    got = {r["id"]: r["rank"] for r in rows(spark, "pagerank")}
+    assert got.keys() == rank.keys()
+    # the last change is under 1e-6, what is left of it at most 0.85 / 0.15 times that; nine decimals are kept
+    assert sum(abs(got[x] - rank[x]) for x in ids) < 1e-6 * 0.85 / 0.15 + len(ids) * 1e-9
