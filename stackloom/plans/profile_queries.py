@@ -150,6 +150,13 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.upsert(base, new, ["k"], "k")
 
 
+def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers overwritten by all customers, whose keys are moved on by half the suppliers: some rows stay, some are updated, some are new."""
+    base = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    new = _read(spark, sf_dir, "customer").select((F.col("c_custkey") + base.count() // 2).alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    return joins.upsert(base, new, ["k"], "k")
+
+
 def language_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = reports.language_share(_read(spark, sf_dir, "documents"), "lang", "n_chars")
     return got.select("language", "files", "bytes", F.round("percent", 6).alias("percent"))
@@ -367,6 +374,6 @@ QUERIES = {
         function_rollup, statistics_cards, call_tree, callers_callees, focus_totals, frame_filter, hotspots, sample_conservation, leaf_exclude, system_frames, node_ids, window_metadata, event_violations, log_metadata,
         window_counts, trace_bundle, window_backfill, latest_per_key, previous_baseline, status_pivot, three_level_totals, upsert, language_share, report_diff, set_diff, interval_containment, fuzzy_join, fan_in_out, pagerank_5,
         reach_counts, strong_components, discover_roots, dead_code, call_site_counts, floor_percentile, findings, findings_by_category, top_findings, refactor_candidates, call_trees, sql_lint, code_scan,
-        fan_in_out_all, pagerank, reach_counts_all, strong_components_all, discover_roots_all, dead_code_all,
+        upsert_all, fan_in_out_all, pagerank, reach_counts_all, strong_components_all, discover_roots_all, dead_code_all,
     )
 }

@@ -90,3 +90,11 @@ def test_pagerank_runs_to_convergence(spark):
     assert got.keys() == rank.keys()
     # the last change is under 1e-6, what is left of it at most 0.85 / 0.15 times that; nine decimals are kept
     assert sum(abs(got[x] - rank[x]) for x in ids) < 1e-6 * 0.85 / 0.15 + len(ids) * 1e-9
+
+
+def test_upsert_of_all_customers(spark):
+    read = lambda table, columns: duckdb.sql(f"SELECT {columns} FROM '{DATA}/{table}.parquet'").fetchall()
+    base = {k: (n, c) for k, n, c in read("supplier", "s_suppkey, s_name, s_nationkey")}
+    new = {k + len(base) // 2: (n, c) for k, n, c in read("customer", "c_custkey, c_name, c_nationkey")}
+    assert base.keys() - new.keys() and base.keys() & new.keys() and new.keys() - base.keys()
+    assert {r["k"]: (r["name"], r["nation"]) for r in rows(spark, "upsert_all")} == base | new
