@@ -26,7 +26,7 @@ _NODES = T.StructType([T.StructField("nodes", T.ArrayType(T.IntegerType())), T.S
 def code(value: Column) -> Column:
     """The code of a non-negative integer; monotone in the value."""
     shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double"))).cast("int") - MANTISSA)
-    return (F.expr(f"0 << {MANTISSA}") + shift * (1 << MANTISSA) + F.call_function("shiftright", value, shift)).cast("int")
+    return (shift * (1 << MANTISSA) + F.call_function("shiftright", value, shift)).cast("int")
 
 
 def decode(codes: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ def test_held_out_accuracy(samples):
     part = F.pmod(F.xxhash64("sample_id"), F.lit(5)) == 0
     fitted = L.train(samples.filter(~part), "sample_text", "lang")
     rows = samples.filter(part).collect()
-    best = fitted.score([" ".join(s for _, _, s in L.sentences(r["sample_text"])) for r in rows]).argmax(axis=1)
+    best = fitted.score([L.evidence(" ".join(s for _, _, s in L.sentences(r["sample_text"]))) for r in rows]).argmax(axis=1)
     right = sum(fitted.languages[b] == r["lang"] for b, r in zip(best, rows))
     assert len(rows) > 30 and right / len(rows) >= 0.95
 
@@ -48,6 +48,41 @@ def test_mixed_documents_and_code(spark, model):
 
 
 def test_labels(spark):
-    cases = {"en": "en", "EN": "en", "en-US": "en", "en_GB": "en", "English": "en", "eng": "en", " de ": "de", "ger": "de", "Deutsch": "de", "zh-CN": "zh", "zh_Hans": "zh", "und": None, "": None, None: None, "n/a": None, "-": None, "mul": None, "Portuguese (Brazil)": "pt"}
+    cases = {"en": "en", "EN": "en", "en-US": "en", "en_GB": "en", "English": "en", "eng": "en", " de ": "de", "ger": "de", "Deutsch": "de", "zh-CN": "zh", "zh_Hans": "zh", "und": None, "": None, None: None, "n/a": None, "-": None, "mul": None, "Portuguese (Brazil)": "pt", "pl": "pl", "sv-SE": "sv", "unknown": None, "??": None, "null": None}
     df = spark.createDataFrame([(k,) for k in cases], "label string")
     assert {r[0]: r[1] for r in df.select("label", L.iso_code(F.col("label"))).collect()} == cases
+
+
+def test_a_language_beyond_the_table_is_fitted_and_its_label_is_right(spark):
+    polish = ["Nie ma powodu, żeby czytać całą tabelę.", "Proszę przenieść to zapytanie poza pętlę.", "Liczby wyglądają dobrze, więc zamykamy sprawę."]
+    rows = [(t, "pl") for t in polish] + [("There is no reason to read the whole table.", "en"), ("The numbers look fine, so we close this.", "en"), ("Please move this query out of the loop.", "en"), ("ohne Sprache", "und")]
+    fitted = L.train(spark.createDataFrame(rows, "t string, l string"), "t", "l")
+    assert fitted.languages == ["en", "pl"]
+    assert [fitted.languages[i] for i in fitted.score(["nie ma powodu czytać tabelę", "no reason to read this table"]).argmax(axis=1)] == ["pl", "en"]
+
+
+def test_what_no_language_has_seen_decides_nothing(spark):
+    """Totals differ by a factor of twenty, yet unseen text has equal odds."""
+    rows = [(f"word{i} alpha beta gamma delta", "en") for i in range(40)] + [("eins zwei drei", "de"), ("vier", "de")]
+    fitted = L.train(spark.createDataFrame(rows, "t string, l string"), "t", "l")
+    got = fitted.score(["ψχωϞϟϠ"])
+    assert abs(got[0, 0] - got[0, 1]) < 1e-6
+
+
+def test_names_in_another_script_and_compounds():
+    assert L.evidence("到了第60分钟,media store的错误突然变多").split() == ["到了第", "分钟", "的错误突然变多"] or "media" not in L.evidence("到了第60分钟,media store的错误突然变多")
+    assert "mail-relay" not in L.evidence("nothing was lost in mail-relay today") and L.evidence("mail-relay") == "mail-relay"
+    assert [s for _, _, s in L.sentences("a well-known state-of-the-art method")] == ["a well-known state-of-the-art method"]
+    for code in ("checkout.views.QueueReader.parse", "BatchPlan", "flush_window", "_private", "a/b/c.py", "RowLoader.flush()", "`x y`", "https://a.b/c", "x=1"):
+        assert L.blank_code(f"see {code} now").split() in (["see", "now"], ["see", "()", "now"]), code
+    assert L.blank_code("Überschrift größer ÉTÉ") == "Überschrift größer ÉTÉ"
+
+
+def test_long_runs_stay_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 300_000, "aB" * 150_000, "a-" * 150_000, "./" * 150_000, "A" * 300_000, "_" * 300_000, "a.b" * 100_000, "字" * 300_000, "1," * 150_000):
+        for _, _, s in L.sentences(text):
+            L.evidence(s)
+    assert time.perf_counter() - began < 20

@@ -55,5 +55,11 @@ def test_shares_and_containers(spark):
 def test_languages_agree_with_most_labels(spark):
     found = Q.p9_documents(spark, DATA).collect()
     assert all(0 < r["confidence"] <= 1 and Q.langid.MIN_SHARE <= r["share"] <= 1.0001 for r in found)
+    docs = {r["doc_id"]: r["label"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", Q.langid.iso_code(Q.F.col("lang")).alias("label")).collect()}
+    alone = {}
+    for r in found:
+        alone.setdefault(r["doc_id"], []).append(r["lang"])
+    labelled = [(docs[i], ls) for i, ls in alone.items() if docs[i]]
+    assert sum(label in ls for label, ls in labelled) / len(labelled) > 0.85  # the rest are the planted wrong labels
     segments = Q.p9_segments(spark, DATA).collect()
     assert all(s["start"] < s["stop"] for s in segments) and {s["doc_id"] for s in segments} >= {r["doc_id"] for r in found}
