@@ -89,6 +89,18 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def last_delivery(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row a key, where a key has few rows: the one with the largest ``order`` (null the smallest), ties by a hash of the rest.
+
+    The rows are moved once, by key, and ranked there; nothing is combined before,
+    as there is next to nothing to combine. For keys with very many rows use
+    ``latest_per_key``.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.xxhash64(*rest)))
+    return df.repartition(*keys).withColumn("__n", place).filter("__n = 1").drop("__n")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the largest ``order`` of each key, reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

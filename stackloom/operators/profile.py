@@ -9,19 +9,19 @@ from stackloom.functions.scalar import event_time_us, node_id
 from stackloom.plans import schemas
 
 
-def stack_samples(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def stack_samples(events: DataFrame, keep: list[str] | None = None, frame: list[str] | None = None) -> DataFrame:
     """One row a stack sample: frames (leaf first), weight_us, ticks, cpu and the columns of ``keep``.
 
     Traces and profile samples need a positive period and count and at least one
     frame; a call needs a positive duration and a name and becomes a stack of one
     frame. Their weight in microseconds is cut to an integer per sample, before
     anything is added up. Everything else is left out. The product of count and
-    period saturates.
+    period saturates. ``frame`` names the fields of the frames, if the events were
+    read with some of them only.
     """
     keep = keep or []
-    one = F.struct(
-        F.col("qualname").alias("name"), "file", "line", F.col("qualname").alias("qualified_name"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("boolean").alias("is_system")
-    )
+    fields = {"name": F.col("qualname"), "file": F.col("file"), "line": F.col("line"), "qualified_name": F.col("qualname"), "module": F.lit(None).cast("string"), "is_system": F.lit(None).cast("boolean")}
+    one = F.struct(*[fields[f].alias(f) for f in frame or schemas.FRAME_FIELDS])
     stack = lambda n, f: F.struct(n.alias("n"), f.alias("frames"))
     kinds = (
         F.when(F.col("type").isin(schemas.TRACE_TYPES), F.array(stack(F.col("count"), F.col("frames"))))
@@ -118,15 +118,22 @@ def focus_totals(tree: DataFrame, name: str) -> DataFrame:
     return tree.filter(F.col("name") == name).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ncalls", "value", "self_value")], F.count("*").alias("occurrences"))
 
 
+def neighbours(tree: DataFrame, name: str) -> DataFrame:
+    """side ('caller' | 'callee'), name, occurrences, value: the nodes directly above and below each occurrence, in one pass; top-level occurrences have no caller."""
+    above = F.element_at("parent_path", -1)
+    caller = F.when(F.col("name") == name, F.struct(F.lit("caller").alias("side"), above.alias("name")))
+    callee = F.when(above == name, F.struct(F.lit("callee").alias("side"), F.col("name").alias("name")))
+    rows = tree.filter("depth > 1").select("value", F.explode(F.array_compact(F.array(caller, callee))).alias("x"))
+    return rows.groupBy("x.side", "x.name").agg(F.count("*").alias("occurrences"), F.sum("value").alias("value"))
+
+
 def callers(tree: DataFrame, name: str) -> DataFrame:
-    """name, occurrences, value: the nodes directly above each occurrence; top-level occurrences have none."""
-    rows = tree.filter((F.col("name") == name) & (F.col("depth") > 1)).select(F.element_at("parent_path", -1).alias("name"), "value")
-    return rows.groupBy("name").agg(F.count("*").alias("occurrences"), F.sum("value").alias("value")).orderBy(F.desc("value"), "name")
+    """name, occurrences, value of the callers, largest first."""
+    return neighbours(tree, name).filter("side = 'caller'").drop("side").orderBy(F.desc("value"), "name")
 
 
 def callees(tree: DataFrame, name: str) -> DataFrame:
-    rows = tree.filter((F.col("depth") > 1) & (F.element_at("parent_path", -1) == name))
-    return rows.groupBy("name").agg(F.count("*").alias("occurrences"), F.sum("value").alias("value")).orderBy(F.desc("value"), "name")
+    return neighbours(tree, name).filter("side = 'callee'").drop("side").orderBy(F.desc("value"), "name")
 
 
 def best_match(tree: DataFrame, predicate: Column) -> DataFrame:
@@ -175,11 +182,10 @@ def hotspots(stacks: DataFrame, top: int = 10) -> DataFrame:
     frames = rows.groupBy("function").agg(
         F.coalesce(F.sum(F.when(own, F.col("count"))), F.lit(0)).alias("samples"), F.sum("count").alias("total"), F.min(F.when(own, F.col("stack"))).alias("example_stack")
     )
-    whole = stacks.agg(F.sum("count")).first()[0] or 0
-    if whole <= 0:
-        frames = frames.limit(0)
-    shares = frames.withColumns({"self_pct": F.col("samples") / F.lit(max(whole, 1)) * 100, "total_pct": F.col("total") / F.lit(max(whole, 1)) * 100})
-    head = shares.orderBy(F.desc("samples"), "function").limit(top)
+    # every stack ends in one frame, so the self samples of all frames are all samples
+    whole = F.coalesce(frames.agg(F.sum("samples")).scalar(), F.lit(0))
+    head = frames.orderBy(F.desc("samples"), "function").limit(top).withColumn("whole", whole).filter("whole > 0")
+    head = head.withColumns({"self_pct": F.col("samples") / F.col("whole") * 100, "total_pct": F.col("total") / F.col("whole") * 100})
     return head.select(
         F.row_number().over(W.orderBy(F.desc("samples"), "function")).alias("rank"), "function", hotspot_category(F.col("function")).alias("category"),
         hotspot_severity(F.col("self_pct"), F.col("total_pct")).alias("severity"), "self_pct", "total_pct", "samples", "example_stack",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stackloom.functions import predicates as P, scalar as S
 from stackloom.lint import chainrules, sqlrules
 from stackloom.operators import findings as fd, graph, joins, profile, reports
+from stackloom.plans import schemas
 from stackloom.session import materialize
 from stackloom.sources import code, events as ev
 
@@ -21,85 +22,91 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines, repeated ones once."""
-    return joins.latest_per_key(_read(spark, sf_dir, "raw_events"), ["log_id", "line_no"], "received_at")
+def _events(spark: SparkSession, sf_dir: str, columns: list[str], frame: list[str] | None = None) -> DataFrame:
+    """Log lines with some columns only, repeated ones once; the scan reads no other column and no other field of a frame."""
+    layout = schemas.pruned(columns, frame or schemas.FRAME_FIELDS, "log_id string, line_no bigint, received_at timestamp_ntz, ")
+    return joins.last_delivery(spark.read.schema(layout).parquet(f"{sf_dir}/raw_events.parquet"), ["log_id", "line_no"], "received_at")
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.stack_samples(_events(spark, sf_dir))
+#: What stack samples are made of, besides the fields of the frames.
+_SAMPLED = ["type", "period_ns", "duration_ns", "cpu", "count", "frames", "samples", "qualname", "file", "line"]
+
+
+def _samples(spark: SparkSession, sf_dir: str, frame: list[str]) -> DataFrame:
+    return profile.stack_samples(_events(spark, sf_dir, _SAMPLED, frame), frame=frame)
 
 
 def function_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profile.function_rollup(_samples(spark, sf_dir))
+    got = profile.function_rollup(_samples(spark, sf_dir, ["name", "file", "line"]))
     return got.select("qualname", "ncalls", "total_us", "cumulative_us", F.round("cpu_avg", 6).alias("cpu_avg"), "file", "line", F.round("percall_us", 6).alias("percall_us"))
 
 
 def statistics_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _events(spark, sf_dir).filter("type = 'function_call' AND status = 'error' AND qualname <> ''").groupBy("qualname").agg(F.count("*").alias("errors"))
-    return profile.statistics_cards(profile.function_rollup(_samples(spark, sf_dir)), calls)
+    calls = _events(spark, sf_dir, ["type", "status", "qualname"]).filter("type = 'function_call' AND status = 'error' AND qualname <> ''").groupBy("qualname").agg(F.count("*").alias("errors"))
+    return profile.statistics_cards(profile.function_rollup(_samples(spark, sf_dir, ["name", "file", "line"])), calls)
 
 
 def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profile.call_tree(_samples(spark, sf_dir))
+    got = profile.call_tree(_samples(spark, sf_dir, schemas.FRAME_FIELDS))
     return got.select(F.array_join("path", ";").alias("path"), "name", "depth", "value", "self_value", "ncalls", "qualname", "module", "node_id")
 
 
 def callers_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = profile.call_tree(_samples(spark, sf_dir))
-    name = FOCUS.rsplit(".", 1)[1]
-    return profile.callers(tree, name).withColumn("side", F.lit("caller")).unionByName(profile.callees(tree, name).withColumn("side", F.lit("callee")))
+    tree = profile.call_tree(_samples(spark, sf_dir, schemas.FRAME_FIELDS))
+    return profile.neighbours(tree, FOCUS.rsplit(".", 1)[1])
 
 
 def focus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.focus_totals(profile.call_tree(_samples(spark, sf_dir)), FOCUS.rsplit(".", 1)[1])
+    return profile.focus_totals(profile.call_tree(_samples(spark, sf_dir, schemas.FRAME_FIELDS)), FOCUS.rsplit(".", 1)[1])
 
 
 def frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profile.function_rollup(_samples(spark, sf_dir))
+    got = profile.function_rollup(_samples(spark, sf_dir, ["name", "file", "line"]))
     return got.filter(P.frame_filter(FILTER, F.col("qualname"), F.col("file"))).select("qualname", "cumulative_us")
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackloom.sources.stacks import fold
 
-    got = profile.hotspots(fold(_samples(spark, sf_dir)), 50)
+    got = profile.hotspots(fold(_samples(spark, sf_dir, ["name"])), 50)
     return got.select("rank", "function", "category", "severity", F.round("self_pct", 6).alias("self_pct"), F.round("total_pct", 6).alias("total_pct"), "samples", "example_stack")
 
 
 def sample_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples, weight and ticks by length of the stack."""
-    return _samples(spark, sf_dir).groupBy(F.size("frames").alias("depth")).agg(F.count("*").alias("samples"), F.sum("weight_us").alias("weight_us"), F.sum("ticks").alias("ticks"))
+    return _samples(spark, sf_dir, ["line"]).groupBy(F.size("frames").alias("depth")).agg(F.count("*").alias("samples"), F.sum("weight_us").alias("weight_us"), F.sum("ticks").alias("ticks"))
 
 
 def leaf_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).filter("frames IS NOT NULL")
+    rows = _events(spark, sf_dir, ["frames"], ["file"]).filter("frames IS NOT NULL")
     return rows.filter(~P.leaf_excluded(F.col("frames"), EXCLUDED)).groupBy("log_id").agg(F.count("*").alias("kept"))
 
 
 def system_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _samples(spark, sf_dir).select(F.explode("frames").alias("f")).select("f.*")
+    frames = _samples(spark, sf_dir, ["file"]).select(F.explode("frames").alias("f")).select("f.*")
     return frames.groupBy(P.is_system_path(F.col("file")).alias("system"), P.is_test_path(F.coalesce("file", F.lit(""))).alias("test")).agg(F.count("*").alias("frames"))
 
 
 def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _samples(spark, sf_dir).select(F.explode("frames").alias("f")).select("f.*")
+    f = _samples(spark, sf_dir, ["name", "file", "qualified_name"]).select(F.explode("frames").alias("f")).select("f.*")
     q = F.col("qualified_name")
     return f.select(S.node_id(F.col("file"), F.col("name"), q).alias("node_id"), S.symbol_kind(q).alias("kind"), S.parent_class(q).alias("owner"), S.basename(F.col("file")).alias("base")).distinct()
 
 
 def window_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profile.window_metadata(_events(spark, sf_dir), ["log_id"])
+    got = profile.window_metadata(_events(spark, sf_dir, ["time", "service", "pod"]), ["log_id"])
     return got.select("log_id", "events", "from_us", "to_us", "duration_us", F.array_join("services", ",").alias("services"), F.array_join("pods", ",").alias("pods"))
 
 
 def event_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ev.event_violations(_events(spark, sf_dir))
+    got = ev.event_violations(_events(spark, sf_dir, ["type", "time", "period_ns", "duration_ns", "count", "frames", "samples", "qualname", "status"], ["line"]))
     return got.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("events"))
 
 
 def log_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.log_metadata(_events(spark, sf_dir)).select("log_id", "time", "service", "pod")
+    """Metadata at the head of each stretch of eight lines, as a log that is rotated so often would have it."""
+    lines = _events(spark, sf_dir, ["type", "time", "service", "pod"]).withColumn("log_id", F.concat_ws("/", "log_id", F.expr("line_no div 8").cast("string")))
+    return ev.log_metadata(lines).select("log_id", "time", "service", "pod")
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +116,7 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trace_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces as one profile a window: number of distinct stacks and ticks of each."""
-    rows = _events(spark, sf_dir).filter("type IN ('wall_trace', 'cpu_trace') AND count > 0 AND period_ns > 0 AND size(frames) > 0")
+    rows = _events(spark, sf_dir, ["type", "time", "period_ns", "count", "frames"]).filter("type IN ('wall_trace', 'cpu_trace') AND count > 0 AND period_ns > 0 AND size(frames) > 0")
     rows = rows.withColumn("at", F.timestamp_micros(S.event_time_us(F.col("time")))).filter("at IS NOT NULL")
     got = profile.bundle(rows, "at", "1 minute")
     return got.select(F.unix_micros("window_start").alias("window_us"), "type", "period_ns", F.size("samples").alias("stacks"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, s: a + s["count"]).alias("ticks"))

@@ -202,7 +202,8 @@ SELECT log_id, count(*) AS events, min(us) AS from_us, max(us) AS to_us, coalesc
   UNION ALL SELECT 'frames' FROM k WHERE tr AND NOT coalesce(len(frames) > 0, false) UNION ALL SELECT 'samples' FROM k WHERE pr AND samples IS NULL UNION ALL SELECT 'qualname' FROM k WHERE ca AND coalesce(qualname, '') = ''
   UNION ALL SELECT 'duration_ns' FROM k WHERE ca AND NOT coalesce(duration_ns > 0, false) UNION ALL SELECT 'status' FROM k WHERE ca AND NOT coalesce(status IN ('ok', 'error'), false)
 ) SELECT rule, count(*) AS events FROM x GROUP BY rule""",
-    "log_metadata": f"WITH {_EVENTS} SELECT log_id, time, service, pod FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS n FROM ev) WHERE n = 1 AND type = 'profile_metadata'",
+    "log_metadata": f"""WITH {_EVENTS}, p AS (SELECT *, log_id || '/' || (line_no // 8) AS part FROM ev)
+SELECT part AS log_id, time, service, pod FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY line_no) AS n FROM p) WHERE n = 1 AND type = 'profile_metadata'""",
     "window_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "trace_bundle": f"""WITH {_EVENTS}, t AS (SELECT *, {_TIME} AS us FROM ev WHERE type IN ('wall_trace', 'cpu_trace') AND count > 0 AND period_ns > 0 AND len(frames) > 0)
 SELECT us // 60000000 * 60000000 AS window_us, type, period_ns, CAST(count(DISTINCT frames) AS INT) AS stacks, CAST(sum(count) AS BIGINT) AS ticks FROM t WHERE us IS NOT NULL GROUP BY 1, 2, 3""",

@@ -1,7 +1,10 @@
 """Record layouts read and written by the operators."""
 
+import re
+
 FRAME = "struct<name: string, file: string, line: int, qualified_name: string, module: string, is_system: boolean>"
 SAMPLE = f"struct<count: bigint, value_ns: bigint, frames: array<{FRAME}>>"
+FRAME_FIELDS = ["name", "file", "line", "qualified_name", "module", "is_system"]
 #: One line of an event log. ``_corrupt_record`` keeps what could not be read.
 EVENT = (
     "type string, time string, service string, pod string, service_version string, period_ns bigint, duration_ns bigint, cpu double, "
@@ -23,3 +26,12 @@ SYMBOL = (
 )
 REFERENCE = "file string, ref_ord bigint, name string, receiver string, line int, byte_offset bigint, in_symbol string, sql_literal string"
 IMPORT = "file string, local_name string, module_path string, imported_name string, line int"
+
+
+def pruned(columns: list[str], frame: list[str], before: str = "") -> str:
+    """The layout of event lines with some columns only, and some fields of their frames; a reader given it reads no others."""
+    types = dict(field.split(": ") for field in FRAME[len("struct<") : -1].split(", "))
+    stack = f"array<struct<{', '.join(f'{f}: {types[f]}' for f in frame)}>>"
+    nested = {"frames": stack, "samples": f"array<struct<count: bigint, frames: {stack}>>"}
+    plain = dict(field.split(" ") for field in re.sub(r"array<.*?>>+, ", "_, ", EVENT).split(", ") if " " in field)
+    return before + ", ".join(f"{c} {nested.get(c) or plain[c]}" for c in columns)
