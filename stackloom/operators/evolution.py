@@ -12,16 +12,18 @@ are compared under their listed paths.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from stackloom.functions import json_text
 from stackloom.session import materialize
 
 #: Width of the hashed value sketch of a key.
@@ -32,7 +34,9 @@ MIN_SCORE = 0.6
 WEIGHTS = (0.35, 0.15, 0.2, 0.3)
 
 _NUMBER = re.compile(r"^[vV]?-?[0-9][0-9,]*(\.[0-9]+)?%?$")
-_OBJS = "array<struct<parent: string, cells: array<struct<key: string, type: string, feats: array<int>>>>>"
+#: Weight of one feature; the words of a text and the elements of an array share a fixed number of these.
+UNIT, WORD_UNITS, ELEMENT_UNITS = 1000, 4, 5
+_OBJS = "array<struct<parent: string, cells: array<struct<key: string, type: string, feats: array<struct<slot: int, weight: bigint>>>>>>"
 
 
 def _json_type(v: object) -> str:
@@ -47,32 +51,53 @@ def _json_type(v: object) -> str:
     return "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
-def _features(v: object) -> list[str]:
-    """What a value looks like, whether or not it is quoted."""
+def _shared_out(counts: Counter, units: int) -> dict[str, int]:
+    """Features that share ``units``, each by how often it occurs; none is left out."""
+    n = max(sum(counts.values()), 1)
+    return {f: max(1, units * UNIT * c // n) for f, c in counts.items()}
+
+
+def _features(v: object) -> dict[str, int]:
+    """What a whole value looks like, whether or not it is quoted: features with their weights."""
     if v is None:
-        return []
+        return {}
     if isinstance(v, bool):
-        return ["b"]
+        return {"b": UNIT}
     if isinstance(v, (int, float)):
         size = int(abs(v)).bit_length() if abs(v) < 1e300 else 1000
-        return [f"n{'-' if v < 0 else ''}{size}"] + (["frac"] if isinstance(v, float) and v != int(v or 0) else [])
+        return {f"n{'-' if v < 0 else ''}{size}": UNIT} | ({"frac": UNIT} if isinstance(v, float) and v != int(v or 0) else {})
     if isinstance(v, str):
         if len(v) <= 24 and _NUMBER.match(v):
             try:
                 text = v.strip("vV%").replace(",", "")
-                return [*_features(float(text) if "." in text else int(text)), f"v{v}"]
+                return _features(float(text) if "." in text else int(text)) | {f"v{v}": UNIT}
             except ValueError:
                 pass
-        shape = re.sub(r"\s+", " ", re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", v[:200])))
+        shape = re.sub(r"\s+", " ", re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", v)))
         if len(shape) > 24 or shape.count(" ") > 3:
-            return ["text", "text", f"l{len(v).bit_length()}", *(f"w{w}" for w in v[:200].lower().split()[:4])]
+            words = Counter(v.lower().split())
+            return {"text": 2 * UNIT, f"l{len(v).bit_length()}": UNIT} | {f"w{w}": n for w, n in _shared_out(words, WORD_UNITS).items()}
         start = re.sub(r"\W+", "-", shape)[:5]
-        return [f"p{shape}", f"q{start}", f"q{start}"] + ([] if "9" in shape else [f"v{v}"])
+        return {f"p{shape}": UNIT, f"q{start}": 2 * UNIT} | ({} if "9" in shape else {f"v{v}": UNIT})
     if isinstance(v, list):
         if not v:
-            return ["empty"]
-        return ["list", *(f"e{_json_type(x)}:{f}" for x in v[:3] for f in (sorted(x) if isinstance(x, dict) else _features(x)[:2]))]
-    return [f"k{k}" for k in v] or ["empty"]
+            return {"empty": UNIT}
+        inner, todo = Counter(), list(v)
+        while todo:  # arrays in arrays of any depth
+            x = todo.pop()
+            if isinstance(x, list):
+                todo += x
+            inner.update(f"e{_json_type(x)}:{f}" for f in (x if isinstance(x, dict) else ["-"] if isinstance(x, list) else _features(x)))
+        return {"list": UNIT} | _shared_out(inner, ELEMENT_UNITS)
+    return {f"k{k}": UNIT for k in v} or {"empty": UNIT}
+
+
+def _sketch(v: object) -> Counter:
+    """Weights by slot: at most SKETCH_WIDTH entries, however long the value is."""
+    out: Counter = Counter()
+    for f, n in _features(v).items():
+        out[zlib.crc32(f.encode("utf-8", "replace")) % SKETCH_WIDTH] += n
+    return out
 
 
 def _objects(value: dict, parent: str = "") -> Iterator[tuple[str, dict]]:
@@ -86,39 +111,91 @@ def _objects(value: dict, parent: str = "") -> Iterator[tuple[str, dict]]:
 
 def _load(text: str | None) -> dict | None:
     try:
-        got = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        got = json_text.load(text) if text else None
+    except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        objs = []
-        for text in pdf["content"]:
+def _deliveries(files: DataFrame) -> DataFrame:
+    """kind, file_id, written_at, tie, content: of two deliveries the later one counts, of equally late ones that with the larger hash."""
+    at = F.coalesce(F.col("written_at").cast("timestamp"), F.timestamp_micros(F.lit(-(2**60))))
+    return files.filter("content IS NOT NULL").select("kind", "file_id", at.alias("written_at"), F.xxhash64("content").alias("tie"), "content")
+
+
+def last_readable(files: DataFrame) -> DataFrame:
+    """kind, file_id, content of the last delivery of each file that is a JSON object: the rule of all that reads files here.
+
+    Contents are moved once, to their file's other deliveries.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: tuple | None = None
+        for pdf in batches:
+            keep = []
+            for kind, file_id, text in zip(pdf["kind"], pdf["file_id"], pdf["content"]):
+                good = (kind, file_id) != done and _load(text) is not None
+                done = (kind, file_id) if good else done
+                keep.append(good)
+            yield pdf[keep]
+
+    rows = _deliveries(files).withColumn("file_id", F.col("file_id").cast("bigint")).filter("kind IS NOT NULL AND file_id IS NOT NULL")
+    # an explicit number keeps the partitions apart: they are small in bytes, but parsing them takes long
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    spread = rows.repartition(parts, "kind", "file_id").sortWithinPartitions("kind", "file_id", F.desc("written_at"), F.desc("tie")).select("kind", "file_id", "content")
+    return spread.mapInPandas(run, "kind string, file_id bigint, content string")
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.array(sizes, np.int64))], pa.int32()), values)
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nested result is put together from flat lists and their lengths."""
+    for batch in batches:
+        kept, objects, cells, feats = [], [], [], []
+        parents, keys, types, slots, weights = [], [], [], [], []
+        for row, text in enumerate(batch.column("content").to_pylist()):
             value = _load(text)
-            objs.append(
-                None
-                if value is None
-                else [
-                    {"parent": path, "cells": [{"key": "", "type": "", "feats": []}] + [{"key": k, "type": _json_type(v), "feats": [zlib.crc32(f.encode("utf-8", "replace")) % SKETCH_WIDTH for f in _features(v)]} for k, v in obj.items()]}
-                    for path, obj in _objects(value)
-                ]
-            )
-        yield pd.DataFrame({"kind": pdf["kind"], "file_id": pdf["file_id"], "written_at": pdf["written_at"], "objs": objs})
+            if value is None:
+                continue
+            kept.append(row)
+            n = 0
+            for n, (path, obj) in enumerate(_objects(value), 1):
+                parents.append(path)
+                cells.append(len(obj) + 1)
+                keys.append("")  # stands once in every object and so counts them
+                types.append("")
+                feats.append(0)
+                for k, v in obj.items():
+                    sketch = _sketch(v)
+                    keys.append(k)
+                    types.append(_json_type(v))
+                    feats.append(len(sketch))
+                    slots += sketch.keys()
+                    weights += sketch.values()
+            objects.append(n)
+        if not kept:
+            continue
+        features = _lists(feats, pa.StructArray.from_arrays([pa.array(slots, pa.int32()), pa.array(weights, pa.int64())], ["slot", "weight"]))
+        clean = [k.encode("utf-8", "replace").decode() for k in keys]
+        inner = _lists(cells, pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.array(types, pa.string()), features], ["key", "type", "feats"]))
+        paths = pa.array([p.encode("utf-8", "replace").decode() for p in parents], pa.string())
+        objs = _lists(objects, pa.StructArray.from_arrays([paths, inner], ["parent", "cells"]))
+        rest = batch.select(["kind", "file_id", "written_at", "tie"]).take(pa.array(kept))
+        yield pa.RecordBatch.from_arrays([*rest.columns, objs], names=["kind", "file_id", "written_at", "tie", "objs"])
 
 
 def profile_files(files: DataFrame) -> DataFrame:
     """kind, file_id, objs: of each readable file the keys of its objects; one row a file.
 
     ``files`` has kind, file_id, written_at, content. Only the compact profile is
-    shuffled to find the last delivery of a file, not its content. Files that are
-    not a JSON object, or null, are left out.
+    shuffled to find the last delivery of a file, not its content; it is the one
+    that ``last_readable`` takes. Files that are not a JSON object, or null, are
+    left out.
     """
-    schema = f"kind string, file_id bigint, written_at timestamp, objs {_OBJS}"
-    rows = files.select("kind", "file_id", F.col("written_at").cast("timestamp").alias("written_at"), "content")
-    made = rows.mapInPandas(_profile, schema).filter("objs IS NOT NULL")
-    return made.groupBy("kind", "file_id").agg(F.max_by("objs", F.struct(F.coalesce("written_at", F.timestamp_micros(F.lit(-(2**60)))), F.xxhash64("objs"))).alias("objs"))
+    made = _deliveries(files).mapInArrow(_profile, f"kind string, file_id bigint, written_at timestamp, tie bigint, objs {_OBJS}")
+    return made.filter("kind IS NOT NULL AND file_id IS NOT NULL").groupBy("kind", "file_id").agg(F.max_by("objs", F.struct("written_at", "tie")).alias("objs"))
 
 
 def _name_similarity(a: str, b: str) -> float:
@@ -142,7 +219,7 @@ def _likeness(key: pd.Series, leaf: pd.Series, sketch: pd.Series, own: pd.Series
         left, right = Counter(), Counter()
         for counts, entries in ((left, p), (right, q)):
             for x in entries:  # a feature stands once for each type it occurred in
-                counts[x["feat"]] += x["count"]
+                counts[x["slot"]] += x["weight"]
         n, m = sum(left.values()), sum(right.values())
         return sum(min(v / n, right[f] / m) for f, v in left.items() if f in right)
 
@@ -214,13 +291,14 @@ def _pair_scores(objs: DataFrame, listed: DataFrame) -> DataFrame:
     """
     here = ["kind", "canon"]
     cells = objs.select(*here, F.explode("cells").alias("c")).select(*here, "c.*")
-    feats = cells.select(*here, "key", "type", F.explode(F.concat("feats", F.array(F.lit(-1)))).alias("feat")).groupBy(*here, "key", "type", "feat").count()
-    # feature -1 is given once a cell: its count is the number of cells
-    marked = F.col("feat") == -1
+    one = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(1).cast("bigint").alias("weight")))
+    feats = cells.select(*here, "key", "type", F.explode(F.concat("feats", one)).alias("f")).groupBy(*here, "key", "type", F.col("f.slot").alias("slot")).agg(F.sum("f.weight").alias("weight"))
+    # slot -1 is given once a cell: its weight is the number of cells
+    marked = F.col("slot") == -1
     profiles = feats.groupBy(*here, "key").agg(
-        F.sum(F.when(marked, F.col("count"))).alias("n"),
-        F.max_by("type", F.when(marked, F.struct("count", "type"))).alias("type"),
-        F.collect_list(F.when(~marked, F.struct("feat", "count"))).alias("sketch"),
+        F.sum(F.when(marked, F.col("weight"))).alias("n"),
+        F.max_by("type", F.when(marked, F.struct("weight", "type"))).alias("type"),
+        F.collect_list(F.when(~marked, F.struct("slot", "weight"))).alias("sketch"),
     )
     profiles = materialize(profiles, "profiles")
     leaves = listed.select(*here, "leaf", "json_type")
@@ -242,8 +320,8 @@ def _pair_scores(objs: DataFrame, listed: DataFrame) -> DataFrame:
     return scored.filter(F.col("score") >= MIN_SCORE).select(*here, "key", "leaf", "score")
 
 
-def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which key of which file carries which listed field, and every deviation.
+def resolve(files: DataFrame, fields: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Which key of which file carries which listed field, and every deviation; with ``only``, of the objects on the way to these fields.
 
     ``files``: kind, file_id, written_at, content. ``fields``: record_kind,
     field_path, json_type, is_optional. Returns
@@ -260,7 +338,11 @@ def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     objs = profile_files(files).select("kind", "file_id", F.explode("objs").alias("o")).select("kind", "file_id", F.col("o.parent").alias("raw"), F.col("o.cells").alias("cells"))
     objs = materialize(objs, "objects")
-    listed = materialize(_listed(fields), "listed")
+    listed = _listed(fields)
+    if only:
+        above = {".".join(p.split(".")[:i]) for p in only for i in range(p.count(".") + 1)}
+        listed = listed.filter(F.col("canon").isin(sorted(above)))
+    listed = materialize(listed, "listed")
     here, who = ["kind", "canon"], ["kind", "file_id"]
     arrays = listed.groupBy(*here).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # as long as the schema
     level = objs.filter("raw = ''").withColumn("canon", F.lit(""))
@@ -323,53 +405,51 @@ def resolve(files: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.filter("raw_path IS NOT NULL").drop("other_key"), changes
 
 
-def field_aliases(cells: DataFrame, kind: str, paths: list[str]) -> dict[str, list[str]]:
-    """Raw paths under which the given listed fields stand, the listed path first.
-
-    The rows collected are the distinct names of a few fields, counted first.
-    """
-    names = cells.filter((F.col("kind") == kind) & F.col("field_path").isin(paths)).groupBy("field_path", "raw_path").count()
-    names = materialize(names, "aliases")
-    if names.count() > 10_000:
-        raise ValueError("a listed field stands under more than 10,000 names; join on cells instead")
-    out: dict[str, list[str]] = {p: [p] for p in paths}
-    for r in sorted(names.collect(), key=lambda r: (-r["count"], r["raw_path"])):
-        if r["raw_path"] not in out[r["field_path"]]:
-            out[r["field_path"]].append(r["raw_path"])
-    return out
+def field_places(cells: DataFrame, kind: str, paths: list[str]) -> DataFrame:
+    """file_id, places: a map from each of the listed paths to the path under which it stands in the file."""
+    mine = cells.filter((F.col("kind") == kind) & F.col("field_path").isin(paths))
+    one = mine.groupBy("file_id", "field_path").agg(F.min("raw_path").alias("raw_path"))
+    return one.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "raw_path"))).alias("places"))  # as long as the list of paths
 
 
 def _convert(value: object, json_type: str) -> tuple[object, bool]:
-    """The value in the listed type, and whether nothing was lost."""
+    """The value in the listed type, and whether it can be had back from that: what cannot is null."""
+    lost = (None, False)
     if value is None:
         return None, True
     if json_type in ("array", "object"):
-        fits = isinstance(value, list if json_type == "array" else dict)
-        if json_type == "array" and isinstance(value, str):
-            return json.dumps(value.split(","), ensure_ascii=False), True
-        return (json.dumps(value, ensure_ascii=False), True) if fits else (None, False)
+        if isinstance(value, list if json_type == "array" else dict):
+            return json_text.dump(value), True
+        return (json_text.dump(value.split(",")), True) if json_type == "array" and isinstance(value, str) else lost
     if json_type == "string":
-        if isinstance(value, list) and all(isinstance(x, str) for x in value):
-            return "\n".join(value), True
-        if isinstance(value, dict) and len(value) == 1 and isinstance(one := next(iter(value.values())), str):
-            return one, True
-        return (value, True) if isinstance(value, str) else (json.dumps(value, ensure_ascii=False), True)
+        if isinstance(value, str):
+            return value, True
+        if isinstance(value, list) and value and all(isinstance(x, str) for x in value):
+            text = "\n".join(value)
+            return (text, True) if text.split("\n") == value else lost
+        return json_text.dump(value), True
     if json_type == "boolean":
-        return (value, True) if isinstance(value, bool) else (None, False)
-    text = str(value).strip("vV% ").replace(",", "") if isinstance(value, (str, int, float)) and not isinstance(value, bool) else ""
+        return (value, True) if isinstance(value, bool) else lost
+    if isinstance(value, bool) or not isinstance(value, (str, int, float)):
+        return lost
     try:
-        number = float(text) if json_type == "number" else int(text)
-    except ValueError:
-        return None, False
-    return (number, True) if json_type == "number" or -(2**63) <= number < 2**63 else (None, False)
+        number = float(value) if json_type == "number" else int(value)
+    except (ValueError, OverflowError):
+        return lost
+    if json_type == "number":
+        back = {repr(number), repr(int(number)) if number.is_integer() else ""} if np.isfinite(number) else set()
+        return (number, True) if (number == value if not isinstance(value, str) else value in back) else lost
+    same = str(number) == value if isinstance(value, str) else number == value
+    return (number, True) if same and -(2**63) <= number < 2**63 else lost
 
 
 def unify(files: DataFrame, cells: DataFrame, fields: DataFrame, kind: str) -> DataFrame:
     """One row a file: file_id, one column per listed field of ``kind`` (dots become underscores), other.
 
     Columns have the listed type (arrays and objects as JSON text). A retyped
-    value is converted where nothing is lost; else the column is null and the
-    value stays, like the added keys, in the map ``other`` from path to JSON text.
+    value is converted where the conversion gives the same text back; else the
+    column is null and the value stays, like the added keys, in the map ``other``
+    from path to JSON text. The files and deliveries are those of ``resolve``.
     """
     spec = sorted((r["field_path"], r["json_type"]) for r in fields.filter(F.col("record_kind") == kind).select("field_path", "json_type").distinct().collect())  # one row a column of the result
     sql = {"integer": "bigint", "number": "double", "boolean": "boolean"}
@@ -387,18 +467,16 @@ def unify(files: DataFrame, cells: DataFrame, fields: DataFrame, kind: str) -> D
                         got = got.get(step) if isinstance(got, dict) else None
                     path = place["field_path"]
                     if path is None:
-                        other[place["raw_path"]] = json.dumps(got, ensure_ascii=False)
+                        other[place["raw_path"]] = json_text.dump(got)
                         continue
                     made, whole = _convert(got, types[path])
                     row[path.replace(".", "_")] = made
                     if not whole:
-                        other[place["raw_path"]] = json.dumps(got, ensure_ascii=False)
+                        other[place["raw_path"]] = json_text.dump(got)
                 rows.append((*(row.get(c) for c in ["file_id", *(p.replace(".", "_") for p, _ in spec)]), other))
             yield pd.DataFrame(rows, columns=["file_id", *(p.replace(".", "_") for p, _ in spec), "other"], dtype=object)
 
     mine = cells.filter(F.col("kind") == kind)
     places = mine.groupBy("file_id").agg(F.collect_list(F.struct("field_path", "raw_path", F.split("raw_path", r"\.").alias("steps"))).alias("places"))
-    good = files.filter((F.col("kind") == kind) & F.col("content").isNotNull())
-    stamp = F.struct(F.try_parse_json("content").isNotNull(), F.coalesce(F.col("written_at").cast("timestamp"), F.timestamp_micros(F.lit(-(2**60)))))
-    last = good.groupBy("file_id").agg(F.max_by("content", stamp).alias("content"))
+    last = last_readable(files.filter(F.col("kind") == kind)).select("file_id", "content")
     return last.join(places, "file_id").mapInPandas(build, schema)

@@ -6,8 +6,9 @@ they stay inside. What is left are the few chain tops whose parent lies in
 another partition. Those form a smaller forest of the same kind, which is solved
 by the same step until it fits into one partition; the result is then joined
 back. Where a contraction shrinks too little (links without any locality) the
-smaller forest is solved by pointer doubling, which needs log2(longest chain)
-joins whatever the data.
+smaller forest is placed by its links instead: a coin is thrown for each node, a
+tail goes to where its parent is if that is a head, and is contracted into it. A
+quarter of all links go so in each round, whatever the data.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from stackloom.operators.skew import heavy_light_join
+from stackloom.operators.skew import salted_join
 from stackloom.session import materialize
 
 #: Rows that one contraction task holds at once.
 TASK_ROWS = 500_000
-#: A contraction that keeps more than this share of its rows is not repeated.
+#: After a contraction that keeps more than this share of its rows the next one places rows by their links.
 MIN_SHRINK = 0.6
 
 
@@ -128,105 +129,86 @@ def _trails(segs: list[list[str]], parent: np.ndarray, cyclic: np.ndarray) -> pa
     return pa.array(trails, pa.list_(pa.string()))
 
 
-def _run_contract(rows: DataFrame, parts: int, near: list[str], names: list[str], paths: bool) -> DataFrame:
+def _run_contract(rows: DataFrame, parts: int, near: list[str], names: list[str], paths: bool, coin: int | None = None) -> DataFrame:
     fields = [f for f in rows.schema.fields if f.name in names]
     schema = T.StructType(
         [*fields, T.StructField("top", T.StringType()), T.StructField("out_parent", T.StringType()), T.StructField("dist", T.LongType()), T.StructField("state", T.StringType())]
         + [T.StructField("trail", T.ArrayType(T.StringType()))] * paths
     )
-    spread = rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, *near, "id")
+    if parts == 1:
+        spread = rows.repartition(1)
+    elif coin is None:
+        spread = rows.repartitionByRange(parts, *near, "id")
+    else:
+        head = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(coin)), F.lit(2)) == 0
+        spread = rows.repartition(parts, F.when(head("parent") & ~head("id"), F.xxhash64("parent")).otherwise(F.xxhash64("id")))
     order = [f.name for f in fields]
     return spread.mapInArrow(_contract(order, paths), schema)
 
 
-def _solve(rows: DataFrame, count: int, near: list[str], paths: bool, task_rows: int, last_count: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def _solve(rows: DataFrame, count: int, near: list[str], paths: bool, task_rows: int, carry: tuple[str, ...] = (), coin: int | None = None) -> tuple[DataFrame, bool]:
     """id, top, dist, state ('r' | 'orphan' | 'o' | 'c'), trail of every row of a forest (id, parent, w[, seg], near).
 
     State 'cyclic' is given to rows that lead into a cycle spanning several
-    partitions; the caller resolves those on the unweighted rows.
+    partitions, and the second result says whether there are any; the caller
+    resolves those on the unweighted rows. Joins whose
+    sides grow with the data are sort-merge joins.
     """
     names = ["id", "parent", "w", *near, *carry]
-    if last_count is not None and count > task_rows and count > MIN_SHRINK * last_count:
-        return _doubling(rows, paths)
     parts = max(1, -(-count // task_rows))
-    local = materialize(_run_contract(rows, parts, near, names, paths), "fragments")
+    local = _run_contract(rows, parts, near, names, paths, coin)
     keep = ["id", "top", "dist", "state", *["trail"] * paths, *carry]
     if parts == 1:
-        return local.withColumn("state", F.when(F.col("state") == "x", "orphan").otherwise(F.col("state"))).select(*keep)
-    tops = local.filter("state = 'x' AND id = top").select("id", "out_parent", "w", *near)
+        return materialize(local, "fragments").withColumn("state", F.when(F.col("state") == "x", "orphan").otherwise(F.col("state"))).select(*keep), False
+    local = materialize(local.withColumn("open", F.col("state") == "x"), "fragments", ["open"])  # rows that are done are not read again until the end
+    rest = local.filter("open")
+    tops = rest.filter("id = top").select("id", "out_parent", "w", *near)
     left = tops.count()
     if left == 0:
-        return local.select(*keep)
+        return local.select(*keep), False
     place = local.select(
         F.col("id").alias("out_parent"), F.col("top").alias("p_top"), F.col("dist").alias("p_dist"), F.col("state").alias("p_state"), *[F.col("trail").alias("p_trail")] * paths
     )
     # an absent parent can be named by many orphans, and then matches nothing: no hot group forms on the node side
     links = materialize(_lookup(tops, place, left).withColumn("p_dist", F.col("p_dist") + F.col("w")).drop("w"), "links")
-    open_ = links.filter("p_state = 'x'")
     forest = links.select(
         "id", F.when(F.col("p_state") == "x", F.col("p_top")).alias("parent"), F.coalesce("p_dist", F.lit(0)).cast("bigint").alias("w"),
         *([F.coalesce("p_trail", F.array().cast("array<string>")).alias("seg")] * paths), *near,
     )
-    if open_.isEmpty():
+    if links.filter("p_state = 'x'").isEmpty():
         solved = forest.select("id", F.col("id").alias("q_top"), F.lit(0).cast("bigint").alias("q_dist"), F.lit("r").alias("q_state"), *([F.col("seg").alias("q_trail")] * paths))
     else:
-        got = _solve(forest, left, near, paths, task_rows, count)
+        again = coin + 1 if coin is not None else 0 if left > MIN_SHRINK * count else None
+        got, _ = _solve(forest, left, near, paths, task_rows, coin=again)
         solved = got.select("id", F.col("top").alias("q_top"), F.col("dist").alias("q_dist"), F.col("state").alias("q_state"), *([F.col("trail").alias("q_trail")] * paths))
     # what the end of the quotient chain resolved to
     ends = links.select(F.col("id").alias("q_top"), F.col("p_top").alias("e_top"), F.col("p_dist").alias("e_dist"), F.col("p_state").alias("e_state"))
-    final = solved.join(ends, "q_top", "left").select(
+    final = solved.join(ends.hint("merge"), "q_top", "left").select(
         F.col("id").alias("top"),
         F.when(F.col("q_state").isin("o", "c", "cyclic"), F.lit(None)).when(F.col("e_state").isNull(), F.col("q_top")).otherwise(F.col("e_top")).alias("f_top"),
         (F.col("q_dist") + F.coalesce("e_dist", F.lit(0))).alias("f_dist"),
         F.when(F.col("q_state").isin("o", "c", "cyclic"), "cyclic").when(F.col("e_state").isNull(), "orphan").when(F.col("e_state") == "o", "c").otherwise(F.col("e_state")).alias("f_state"),
         *([F.col("q_trail").alias("f_trail")] * paths),
     )
-    final = materialize(final, "tops")
-    done = local.filter("state <> 'x'").select(*keep)
-    rest = local.filter("state = 'x'")
     sizes = rest.groupBy("top").agg(F.count("*").alias("rows"))
-    final = final.join(sizes, "top")
-    total = rest.count()
-    joined = heavy_light_join(rest, final, ["top"], "rows", total).select(
+    final = materialize(final.join(sizes.hint("merge"), "top"), "tops")
+    total = final.agg(F.sum("rows")).first()[0] or 0
+    joined = salted_join(rest.drop("open"), final, ["top"], "rows", total, ["id"]).select(
         "id", F.col("f_top").alias("top"), (F.col("dist") + F.col("f_dist")).alias("dist"), F.col("f_state").alias("state"),
         *([F.concat("f_trail", "trail").alias("trail")] * paths), *carry,
     )
-    return done.unionByName(joined)
+    return local.filter("NOT open").select(*keep).unionByName(joined), not final.filter("f_state = 'cyclic'").isEmpty()
 
 
 def _lookup(tops: DataFrame, place: DataFrame, left: int) -> DataFrame:
     """tops LEFT JOIN place on out_parent, safe where many tops name one parent."""
     named = tops.groupBy("out_parent").agg(F.count("*").alias("rows"))
-    found = place.join(named, "out_parent")  # one row a node that is named, with the number of tops naming it
-    hit = heavy_light_join(tops, found, ["out_parent"], "rows", left)
-    miss = tops.join(hit.select("id"), "id", "left_anti")
+    found = place.join(named.hint("merge"), "out_parent")  # one row a node that is named, with the number of tops naming it
+    hit = materialize(salted_join(tops, found, ["out_parent"], "rows", left, ["id"]), "named")
+    miss = tops.join(hit.select("id").hint("merge"), "id", "left_anti")
     return hit.unionByName(miss, allowMissingColumns=True)
 
 
-def _doubling(rows: DataFrame, paths: bool) -> DataFrame:
-    """The same result for a forest without locality: chains halve with every join."""
-    known = rows.select(F.col("id").alias("k"))
-    cur = rows.join(known, rows["parent"] == known["k"], "left").select(
-        "id", F.coalesce("k", "id").alias("at"), F.when(F.col("k").isNull(), 0).otherwise(F.col("w")).cast("bigint").alias("dist"), F.col("k").isNull().alias("done"),
-        F.col("parent").isNotNull().alias("named"), *([F.col("seg").alias("trail"), F.col("seg").alias("own")] * paths),
-    )
-    cur = materialize(cur, "doubling")
-    limit = max(1, rows.count())
-    steps = 1
-    while steps <= 2 * limit and not cur.filter("NOT done").isEmpty():
-        nxt = cur.select(F.col("id").alias("n_id"), F.col("at").alias("n_at"), F.col("dist").alias("n_dist"), F.col("done").alias("n_done"), *([F.col("trail").alias("n_trail")] * paths))
-        going = cur.filter("NOT done").join(nxt, F.col("at") == F.col("n_id"))
-        moved = going.select(
-            "id", F.col("n_at").alias("at"), (F.col("dist") + F.col("n_dist")).alias("dist"), F.col("n_done").alias("done"), "named", *([F.concat("n_trail", "trail").alias("trail"), F.col("own")] * paths)
-        )
-        cur = materialize(cur.filter("done").unionByName(moved), "doubling")
-        steps *= 2
-    ends = cur.filter("done AND id = at").select(F.col("id").alias("at"), F.col("named").alias("e_named"))
-    return cur.join(ends, "at", "left").select(
-        "id", F.col("at").alias("top"), "dist", F.when(~F.col("done"), "cyclic").when(F.col("e_named"), "orphan").otherwise("r").alias("state"), *(["trail"] * paths)
-    )
-
-
 def _ring_doubling(rows: DataFrame) -> DataFrame:
     """Cycles of any length among rows (id, parent) that all lead into one: id, top (smallest id of the cycle), state."""
     count = rows.count()
@@ -234,15 +216,15 @@ def _ring_doubling(rows: DataFrame) -> DataFrame:
     steps = 1
     while steps < count:
         nxt = cur.select(F.col("id").alias("n_id"), F.col("at").alias("n_at"), F.col("least").alias("n_least"))
-        cur = materialize(cur.join(nxt, F.col("at") == F.col("n_id")).select("id", F.col("n_at").alias("at"), F.least("least", "n_least").alias("least")), "rings")
+        cur = materialize(cur.join(nxt.hint("merge"), F.col("at") == F.col("n_id")).select("id", F.col("n_at").alias("at"), F.least("least", "n_least").alias("least")), "rings")
         steps *= 2
     on = cur.select(F.col("at").alias("o_id")).distinct()
     ring = cur.select(F.col("id").alias("r_id"), F.col("least").alias("r_least"))
-    marked = cur.join(on, cur["id"] == on["o_id"], "left").join(ring, cur["at"] == ring["r_id"])
+    marked = cur.join(on.hint("merge"), cur["id"] == on["o_id"], "left").join(ring.hint("merge"), cur["at"] == ring["r_id"])
     return marked.select("id", F.col("r_least").alias("top"), F.when(F.col("o_id").isNotNull(), "o").otherwise("c").alias("state"))
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = None, paths: bool = False, keep: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = None, paths: bool = False, keep: list[str] | None = None, task_rows: int = TASK_ROWS, agreed: bool = False) -> DataFrame:
     """One row a node: node_id, top_id, depth, state[, path][, kept_<column> for each column of ``keep``].
 
     ``state`` is ``rooted`` (top_id is the root), ``orphan`` (the chain ends at
@@ -251,13 +233,16 @@ def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = No
     is the number of links to top_id, null for the last two; ``path`` (on
     request) lists the ids from top_id to the node.
 
-    ``near`` names columns in which parents and children are close and in which
-    repeated deliveries of a node agree; without any, rows are placed by id.
+    ``near`` names columns in which parents and children are close; without any,
+    rows are placed by id. ``agreed`` says that all deliveries of a node agree in
+    these: then they meet in one partition anyway, and the reduction by id, which
+    moves every row once more, is left out.
 
     Defined cases: a null or empty parent is none; rows with a null id are left
     out; repeated rows of an id count once (with differing parents the smallest
-    one counts); a node that names itself is a cycle of one; an empty table
-    gives no rows.
+    one counts; ``near`` and ``keep`` are then of one of that parent's rows, the
+    smallest); a node that names itself is a cycle of one; an empty table gives no
+    rows.
     """
     near = near or []
     keep = keep or []
@@ -270,19 +255,22 @@ def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = No
         *([F.array(F.col(node).cast("string")).alias("seg")] * paths),
         *[F.col(c).alias(s) for c, s in zip([*near, *keep], [*side, *carry])],
     )
-    count = df.count()
-    solved = _solve(rows, count, side, paths, task_rows, carry=tuple(carry))
-    spanning = solved.filter("state = 'cyclic'")
-    stray = 0 if count <= task_rows else spanning.count()
+    if not agreed:
+        rest = [c for c in rows.columns if c not in ("id", "parent")]
+        first = F.min(F.struct(F.col("parent").isNull().alias("none"), "parent", *rest)).alias("r")
+        rows = materialize(rows.groupBy("id").agg(first).select("id", "r.parent", *[f"r.{c}" for c in rest]), "nodes")
+    count = rows.count()
+    solved, stray = _solve(rows, count, side, paths, task_rows, carry=tuple(carry))
     if stray:
+        spanning = solved.filter("state = 'cyclic'")
         links = rows.groupBy("id").agg(F.min("parent").alias("parent"))
-        members = materialize(spanning.select("id", *carry).join(links, "id"), "cyclic")
-        if stray <= task_rows:
+        members = materialize(spanning.select("id", *carry).join(links.hint("merge"), "id"), "cyclic")
+        if members.count() <= task_rows:
             ring = _run_contract(members.select("id", "parent", F.lit(1).cast("bigint").alias("w")), 1, [], ["id"], False).select("id", "top", "state")
         else:
             ring = _ring_doubling(members)
         none = F.lit(None)
-        ring = ring.join(members.select("id", *carry), "id").select("id", "top", none.cast("bigint").alias("dist"), "state", *([none.cast("array<string>").alias("trail")] * paths), *carry)
+        ring = ring.join(members.select("id", *carry).hint("merge"), "id").select("id", "top", none.cast("bigint").alias("dist"), "state", *([none.cast("array<string>").alias("trail")] * paths), *carry)
         solved = solved.filter("state <> 'cyclic'").unionByName(ring)
     named = F.create_map(*[F.lit(x) for x in ("r", "rooted", "orphan", "orphan", "o", "on_cycle", "c", "below_cycle")])
     cyclic = F.col("state").isin("o", "c")
@@ -292,7 +280,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, near: list[str] | None = No
     )
 
 
-def cycle_trees(tree: DataFrame, df: DataFrame, node: str, parent: str, near: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def cycle_trees(tree: DataFrame, df: DataFrame, node: str, parent: str, near: list[str] | None = None, task_rows: int = TASK_ROWS, agreed: bool = False) -> DataFrame:
     """The finite trees under cycles: node_id, top_id, depth, path from the cycle's member that each node hangs on.
 
     ``tree`` is ``hierarchy`` of the other arguments. Members of a cycle have no
@@ -301,8 +289,8 @@ def cycle_trees(tree: DataFrame, df: DataFrame, node: str, parent: str, near: li
     """
     cyclic = tree.filter("state IN ('on_cycle', 'below_cycle')").select(F.col("node_id").alias("__cyclic"), (F.col("state") == "on_cycle").alias("__member"))
     cyclic = materialize(cyclic, "cyclic")
-    rows = df.join(cyclic, df[node].cast("string") == F.col("__cyclic")).withColumn(parent, F.when(~F.col("__member"), F.col(parent)))
-    return hierarchy(rows, node, parent, near, True, task_rows=task_rows).select("node_id", "top_id", "depth", "path")
+    rows = df.join(cyclic.hint("merge"), df[node].cast("string") == F.col("__cyclic")).withColumn(parent, F.when(~F.col("__member"), F.col(parent)))
+    return hierarchy(rows, node, parent, near, True, task_rows=task_rows, agreed=agreed).select("node_id", "top_id", "depth", "path")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

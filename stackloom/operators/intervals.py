@@ -4,40 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stackloom.operators.skew import HEAVY_SHARE
+from stackloom.session import materialize
 
-#: An entity with more rows than this is cut into chunks along its start times.
+#: An entity with more rows than this is cut into pieces of about so many along its start times.
 SPLIT_ROWS = 500_000
+#: Heavy entities up to this number are named in a broadcast; more meet in a shuffle.
+BROADCAST_ENTITIES = 10_000
 
 
-def _cuts(rows: DataFrame, keys: list[str], split_rows: int) -> DataFrame | None:
-    """Start times at which heavy entities are cut: keys, bounds array<bigint>.
+def _cuts(rows: DataFrame, keys: list[str], split_rows: int) -> tuple[DataFrame, bool] | None:
+    """Of each entity with more than ``split_rows`` rows the start times at which it is cut: keys, bounds array<bigint>; and whether these are few.
 
-    An entity is heavy with more than ``max(split_rows, total / 1024)`` rows, so
-    at most 1,024 entities are and their bounds number 2,048 at most.
+    Start times of heavy entities are first counted in cells (at most 64 cells a
+    piece, of equal width between the entity's ends); a cell that itself holds
+    several pieces is counted again in smaller cells, until a cell is one start
+    time or small. Bounds are placed where the running count passes a multiple of
+    ``split_rows``.
     """
-    sizes = rows.groupBy(*keys).count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    limit = max(split_rows, int(total * HEAVY_SHARE))
-    if total <= limit:
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__from").alias("__lo"), F.max("__from").alias("__hi"))
+    heavy = materialize(sizes.filter(F.col("__n") > split_rows), "heavy")
+    count = heavy.count()
+    if not count:
         return None
-    heavy = sizes.filter(F.col("count") > limit).collect()
-    if not heavy:
-        return None
-    spark = rows.sparkSession
-    named = spark.createDataFrame(
-        [(*[r[k] for k in keys], -(-r["count"] // limit)) for r in heavy],
-        spark.createDataFrame([], rows.select(*keys).schema).withColumn("__parts", F.lit(0)).schema,
-    )
-    marked = _null_safe(rows, F.broadcast(named), keys)
-    digest = marked.groupBy(*keys, "__parts").agg(F.percentile_approx("__from", [i / 64 for i in range(1, 64)], 1000).alias("__q"))
-    # of 63 quantiles keep parts - 1 evenly spaced ones; more than 64 parts would need a single entity with over 64 limits of rows
-    picked = digest.select(
-        *keys,
-        F.array_distinct(F.expr("transform(sequence(1, greatest(least(__parts, 64) - 1, 1)), i -> element_at(__q, greatest(1, cast(i * 64 div least(__parts, 64) as int))))")).alias("__bounds"),
-    )
-    got = picked.collect()  # at most 1,024 rows
-    return spark.createDataFrame(got, picked.schema)
+    few = count <= BROADCAST_ENTITIES
+    cell = [*keys, "__lo"]
+    open_ = heavy.withColumn("__width", F.greatest(F.expr(f"(__hi - __lo) div (64 * (__n div {split_rows} + 1))"), F.lit(1)))
+    open_ = materialize(open_.select(*keys, "__lo", "__hi", "__width"), "cells")
+    done: list[DataFrame] = []
+    while True:
+        side = open_.select(*keys, F.col("__lo").alias("__cell_lo"), F.col("__hi").alias("__cell_hi"), "__width")
+        named = _null_safe(rows, F.broadcast(side) if few else side, keys).filter("__from BETWEEN __cell_lo AND __cell_hi")
+        at = F.expr("__cell_lo + ((__from - __cell_lo) div __width) * __width")
+        cells = materialize(named.groupBy(*keys, at.alias("__lo"), "__width").agg(F.count("*").alias("__n"), F.max("__from").alias("__hi")), "cells")
+        again = cells.filter((F.col("__n") > split_rows) & (F.col("__hi") > F.col("__lo")) & (F.col("__width") > 1))
+        done.append(cells.join(again.select(*[F.col(k).alias(f"__a_{k}") for k in keys], F.col("__lo").alias("__a_lo")), _same(cells, keys) & (F.col("__lo") == F.col("__a_lo")), "left_anti"))
+        open_ = materialize(again.select(*cell, "__hi", F.greatest(F.expr(f"__width div (64 * (__n div {split_rows} + 1))"), F.lit(1)).alias("__width")), "cells")
+        if open_.isEmpty():
+            break
+        few = few and open_.count() <= BROADCAST_ENTITIES
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    upto = F.sum("__n").over(W.partitionBy(*keys).orderBy("__lo").rowsBetween(W.unboundedPreceding, 0))  # some hundred rows a piece at most
+    marks = whole.withColumn("__upto", upto).filter(F.expr(f"__upto div {split_rows} > (__upto - __n) div {split_rows}"))
+    bounds = marks.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col("__lo"))).alias("__bounds"))
+    return materialize(bounds, "bounds"), count <= BROADCAST_ENTITIES
+
+
+def _same(left: DataFrame, keys: list[str]) -> Column:
+    out: Column = F.lit(True)
+    for k in keys:
+        out = out & left[k].eqNullSafe(F.col(f"__a_{k}"))
+    return out
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -60,27 +78,28 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, split_
     interval of length zero is kept and intervals that touch fall into one
     session, with integers throughout. Gaps come from ``lead``.
 
-    An entity with over ``split_rows`` rows is cut at quantiles of its start
-    times; each piece merges by itself and the pieces are joined through one
-    summary row per piece, so no task sees a whole heavy entity.
+    An entity with over ``split_rows`` rows is cut along its start times into
+    pieces of about that size, however many that takes; each piece merges by
+    itself and the pieces are joined through one summary row per piece, so no task
+    sees a whole heavy entity. Rows with one start time stay together.
 
     Defined cases: rows with a null bound or an end before the start are no
     intervals; repeated rows change nothing; a null key value is a key of its
     own; an empty table gives no rows; other columns are ignored.
     """
     rows = df.select(*keys, F.col(start).cast("bigint").alias("__from"), F.col(end).cast("bigint").alias("__to")).filter("__from IS NOT NULL AND __to IS NOT NULL AND __to >= __from")
-    cuts = _cuts(rows, keys, split_rows)
-    if cuts is None:
-        rows = rows.withColumn("__piece", F.lit(0))
+    found = _cuts(rows, keys, split_rows)
+    piece = [*keys, "__piece"]
+    if found is None:
+        piece = keys
     else:
-        rows = _null_safe(rows, F.broadcast(cuts), keys, "left")
+        cuts, few = found
+        rows = _null_safe(rows, F.broadcast(cuts) if few else cuts, keys, "left")
         rows = rows.withColumn("__piece", F.expr("coalesce(size(filter(__bounds, b -> b <= __from)), 0)")).drop("__bounds")
-    piece = [*keys, "__piece"]
     span = F.session_window(F.timestamp_micros(F.col("__from") * 2), F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((2 * (__to - __from) + 1) as decimal(24, 0)) / 1000000)"))
     merged = rows.groupBy(*piece, span).agg(F.min("__from").alias("from_us"), F.max("__to").alias("to_us")).drop("session_window")
-    in_piece = W.partitionBy(*piece).orderBy("from_us")
-    if cuts is None:
-        periods = merged.withColumn("__next", F.lead("from_us").over(in_piece))
+    if found is None:
+        periods = merged.withColumn("__next", F.lead("from_us").over(W.partitionBy(*keys).orderBy("from_us")))
         return _with_gaps(periods, keys)
     return _with_gaps(_across(merged, keys, piece), keys)
 

@@ -177,14 +177,15 @@ def hotspots(stacks: DataFrame, top: int = 10) -> DataFrame:
     all samples.
     """
     names = F.split("stack", ";", -1)
-    rows = stacks.select("stack", "count", F.element_at(names, -1).alias("leaf"), F.explode(F.array_distinct(names)).alias("function"))
+    # all samples are one more group of the same aggregation, so that the input is read once
+    parts = F.concat(F.transform(F.array_distinct(names), lambda n: F.struct(F.lit(False).alias("all"), n.alias("function"))), F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("function"))))
+    rows = stacks.select("stack", "count", F.element_at(names, -1).alias("leaf"), F.explode(parts).alias("p")).select("stack", "count", "leaf", "p.*")
     own = F.col("function") == F.col("leaf")
-    frames = rows.groupBy("function").agg(
+    frames = rows.groupBy("all", "function").agg(
         F.coalesce(F.sum(F.when(own, F.col("count"))), F.lit(0)).alias("samples"), F.sum("count").alias("total"), F.min(F.when(own, F.col("stack"))).alias("example_stack")
     )
-    # every stack ends in one frame, so the self samples of all frames are all samples
-    whole = F.coalesce(frames.agg(F.sum("samples")).scalar(), F.lit(0))
-    head = frames.orderBy(F.desc("samples"), "function").limit(top).withColumn("whole", whole).filter("whole > 0")
+    head = frames.orderBy(F.desc("all"), F.desc("samples"), "function").limit(top + 1)
+    head = head.withColumn("whole", F.max(F.when(F.col("all"), F.col("total"))).over(W.partitionBy())).filter("NOT all AND whole > 0")  # top + 1 rows
     head = head.withColumns({"self_pct": F.col("samples") / F.col("whole") * 100, "total_pct": F.col("total") / F.col("whole") * 100})
     return head.select(
         F.row_number().over(W.orderBy(F.desc("samples"), "function")).alias("rank"), "function", hotspot_category(F.col("function")).alias("category"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from stackloom.functions import json_text
+
 
 @dataclass
 class Column:
@@ -105,15 +107,15 @@ def _row_paths(index: np.ndarray) -> pa.Array:
     return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, ".")
 
 
-def shred_lists(df: DataFrame, key: str, column: str, inner: str, entity: str, inner_entity: str) -> DataFrame:
-    """record_id, entity, row_path, parent_path, cells: rows of a column array<struct<..., inner array<struct<...>>>>.
+def shred_lists(df: DataFrame, key: str, column: str, inner: str, entity: str, inner_entity: str, cells: bool = True) -> DataFrame:
+    """record_id, entity, row_path, parent_path[, cells]: rows of a column array<struct<..., inner array<struct<...>>>>.
 
     ``cells`` maps the scalar fields of the element to their text. ``df`` must
     hold one row a record. Null and empty arrays, and null elements, give no rows
     (a later element keeps its position); an empty table gives none.
     """
     schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in ("record_id", "entity", "row_path", "parent_path")] + [T.StructField("cells", T.MapType(T.StringType(), T.StringType()))]
+        [T.StructField(c, T.StringType()) for c in ("record_id", "entity", "row_path", "parent_path")] + [T.StructField("cells", T.MapType(T.StringType(), T.StringType()))] * cells
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,6 @@ def shred_lists(df: DataFrame, key: str, column: str, inner: str, entity: str, i
                 starts, record, index = positions(rep, definition, depth, need)
                 if not len(starts):
                     continue
-                items = structs[depth - 1].filter(structs[depth - 1].is_valid())
                 paths = _row_paths(index)
                 above = _row_paths(index[:, :-1]) if depth > 1 else pa.nulls(len(starts), pa.string())
                 out = {
@@ -135,8 +136,10 @@ def shred_lists(df: DataFrame, key: str, column: str, inner: str, entity: str, i
                     "entity": pa.array([name], pa.string()).take(pa.array(np.zeros(len(starts), np.int64))),
                     "row_path": paths,
                     "parent_path": above,
-                    "cells": _cells(items, [f.name for f in items.type if not pa.types.is_list(f.type)]),
                 }
+                if cells:
+                    items = structs[depth - 1].filter(structs[depth - 1].is_valid())
+                    out["cells"] = _cells(items, [f.name for f in items.type if not pa.types.is_list(f.type)])
                 for b in pa.table(out).to_batches(max_chunksize=50_000):
                     yield b
 
@@ -240,31 +243,44 @@ def reassemble(columns: dict[tuple[str, int], Column]) -> Iterator[tuple[str, st
             yield name, ".".join(path), ".".join(path[:-1]) or None, col.value[s]
 
 
-def shred_files(df: DataFrame, key: str, column: str, entities: tuple[Entity, ...]) -> DataFrame:
-    """record_id, entity, row_path, parent_path, cells of every repeated object in a column of JSON texts.
+def _standing(entities: tuple[Entity, ...], places: dict[str, str] | None) -> tuple[Entity, ...]:
+    """The entities with outermost paths replaced by those under which a record has them."""
+    if not places:
+        return entities
+    own = lambda way: tuple(places[".".join(way)].split(".")) if places.get(".".join(way)) else way
+    return tuple(replace(e, path=tuple(own(w) for w in e.path)) if e.parent is None else e for e in entities)
+
+
+def shred_files(df: DataFrame, key: str, column: str, entities: tuple[Entity, ...], places: str | None = None, cells: bool = True) -> DataFrame:
+    """record_id, entity, row_path, parent_path[, cells] of every repeated object in a column of JSON texts.
 
     ``df`` must hold one row a record. Text that is not valid JSON gives nothing,
     nor does null; an element that is not an object is no row, but counts in the
-    positions. ``cells`` has the element's scalar fields as JSON text.
+    positions. ``cells`` has the element's scalar fields as JSON text. ``places``
+    names a column with a map from paths of outermost arrays (dotted) to where they
+    stand in the record; a null map, or an absent path, leaves them as given.
     """
-    schema = "record_id string, entity string, row_path string, parent_path string, cells map<string,string>"
+    columns = ["record_id", "entity", "row_path", "parent_path", *["cells"] * cells]
+    schema = "record_id string, entity string, row_path string, parent_path string" + ", cells map<string,string>" * cells
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for record, text in zip(pdf["id"], pdf["c"]):
+            for record, text, own in zip(pdf["id"], pdf["c"], pdf["p"]):
                 try:
-                    value = json.loads(text)
-                except (ValueError, RecursionError):
+                    value = json_text.load(text)
+                except ValueError:
                     continue
-                for name, path, above, item in reassemble(shred_json(value, entities)):
-                    rows.append((record, name, path, above, {k: v if isinstance(v, str) else json.dumps(v) for k, v in item.items() if v is not None and not isinstance(v, (list, dict))}))
+                for name, path, above, item in reassemble(shred_json(value, _standing(entities, dict(own) if own is not None else None))):
+                    row = (record, name, path, above)
+                    rows.append((*row, {k: v if isinstance(v, str) else json.dumps(v) for k, v in item.items() if v is not None and not isinstance(v, (list, dict))}) if cells else row)
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["record_id", "entity", "row_path", "parent_path", "cells"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield pd.DataFrame(rows, columns=["record_id", "entity", "row_path", "parent_path", "cells"])
+            yield pd.DataFrame(rows, columns=columns)
 
-    return df.select(F.col(key).cast("string").alias("id"), F.col(column).alias("c")).filter("id IS NOT NULL AND c IS NOT NULL").mapInPandas(run, schema)
+    place = F.col(places) if places else F.lit(None).cast("map<string,string>")
+    return df.select(F.col(key).cast("string").alias("id"), F.col(column).alias("c"), place.alias("p")).filter("id IS NOT NULL AND c IS NOT NULL").mapInPandas(run, schema)
 
 
 def expand_report(text: str) -> str:
@@ -274,8 +290,8 @@ def expand_report(text: str) -> str:
     they are; an index outside the table becomes null.
     """
     try:
-        value = json.loads(text)
-    except (ValueError, TypeError, RecursionError):
+        value = json_text.load(text)
+    except (ValueError, TypeError):
         return text
     for report in value.values() if isinstance(value, dict) else ():
         if not isinstance(report, dict) or not isinstance(pool := report.get("string_table"), list):
@@ -294,4 +310,4 @@ def expand_report(text: str) -> str:
                 if isinstance(finding, dict) and isinstance(finding.get("kind"), int):
                     finding["kind"] = word(finding["kind"])
             todo += node.get("children") or []
-    return json.dumps(value, ensure_ascii=False)
+    return json_text.dump(value)

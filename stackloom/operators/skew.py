@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy from this share of all rows on, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 1 / 1024
 
 
+def _named(keys: list[str]) -> Column:
+    return F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+
+
 def heavy_light_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col: str, total_rows: int) -> DataFrame:
-    """Inner equi-join of ``fact`` with one-row-per-key ``dim``.
+    """Inner equi-join of ``fact`` with one-row-per-key ``dim``, whose rows are of bounded size.
 
     ``dim[rows_col]`` is the number of fact rows of the key. Keys with at least
     ``HEAVY_SHARE`` of ``total_rows`` are at most 1,024 by counting, whatever
@@ -17,8 +21,23 @@ def heavy_light_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col:
     none is large. ``rows_col`` is dropped. Null keys match nothing.
     """
     floor = max(1, int(total_rows * HEAVY_SHARE))
-    dim = dim.filter(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    dim = dim.filter(_named(keys))
     heavy = F.broadcast(dim.filter(F.col(rows_col) >= floor).drop(rows_col))
     light = dim.filter(F.col(rows_col) < floor).drop(rows_col)
     rest = fact.join(heavy.select(*keys), keys, "left_anti")
     return fact.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col: str, total_rows: int, spread: list[str]) -> DataFrame:
+    """The same with rows of any size in ``dim``: nothing is broadcast but the heavy keys' names.
+
+    A heavy key's row is copied once for every ``HEAVY_SHARE`` of the fact rows it
+    meets, which makes 2,048 copies at most together, and the fact rows are spread
+    over the copies by a hash of the columns ``spread``.
+    """
+    floor = max(1, int(total_rows * HEAVY_SHARE))
+    dim = dim.filter(_named(keys)).withColumn("__copies", F.expr(f"cast({rows_col} div {floor} + 1 as int)"))
+    heavy = F.broadcast(dim.filter("__copies > 1").select(*keys, "__copies"))
+    sides = dim.drop(rows_col).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    salted = fact.join(heavy, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__copies")).cast("int"), F.lit(0))).drop("__copies")
+    return salted.join(sides.hint("merge"), [*keys, "__salt"]).drop("__salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackloom.operators import evolution, hierarchy, intervals, shred
+from stackloom.operators import evolution, hierarchy, intervals, joins, shred
 from stackloom.session import materialize
 
 
@@ -40,58 +40,55 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge_intervals(_read(spark, sf_dir, "call_records"), ["log_id", "qualname"], "start_us", "end_us")
 
 
-def _scan_entities(spark: SparkSession, sf_dir: str) -> tuple[shred.Entity, ...]:
-    """Where the arrays of a stored scan stand, under every name that field resolution gives them."""
-    scans = _stored_files(spark, sf_dir).filter("kind = 'stored_scan'")
-    cells, _ = evolution.resolve(scans, _read(spark, sf_dir, "schema_fields"))
-    names = evolution.field_aliases(cells, "stored_scan", ["report.entries", "pickerRoots"])
-    ways = lambda path: tuple(tuple(p.split(".")) for p in names[path])
-    return (
-        shred.Entity("tree_node", ways("report.entries"), recursive="children"),
-        shred.Entity("finding", (("findings",),), "tree_node"),
-        shred.Entity("picker_root", ways("pickerRoots")),
-        shred.Entity("picker_caller", (("callers",),), "picker_root"),
-    )
+#: The arrays of a stored scan, by their listed names.
+_SCAN_ENTITIES = (
+    shred.Entity("tree_node", (("report", "entries"),), recursive="children"),
+    shred.Entity("finding", (("findings",),), "tree_node"),
+    shred.Entity("picker_root", (("pickerRoots",),)),
+    shred.Entity("picker_caller", (("callers",),), "picker_root"),
+)
 
 
-def _last_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a file: the last delivery that can be read."""
-    stamp = F.struct(F.try_parse_json("content").isNotNull(), "written_at")
-    rows = _read(spark, sf_dir, "stored_scans").filter("content IS NOT NULL").select("file_id", "written_at", "content")
-    # an explicit number keeps the partitions apart: they are small in bytes, but parsing them takes long
-    spread = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "file_id")
-    return spread.groupBy("file_id").agg(F.max_by("content", stamp).alias("content"))
+def _placed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, content, places: the last readable delivery of each scan, and where field resolution finds its two arrays."""
+    scans = _stored_files(spark, sf_dir).filter("kind = 'stored_scan'")
+    outer = [".".join(e.path[0]) for e in _SCAN_ENTITIES if e.parent is None]
+    cells, _ = evolution.resolve(scans, _read(spark, sf_dir, "schema_fields"), outer)
+    return evolution.last_readable(scans).select("file_id", "content").join(evolution.field_places(cells, "stored_scan", outer), "file_id", "left")
 
 
 #: Of the samples only the leaves from which rows are rebuilt; the scan reads no other column.
-_SAMPLE_LEAVES = "log_id string, line_no bigint, received_at timestamp, samples array<struct<count: bigint, frames: array<struct<line: int>>>>"
+_SAMPLE_LEAVES = "log_id string, line_no bigint, received_at timestamp_ntz, samples array<struct<count: bigint, frames: array<struct<line: int>>>>"
 
 
 def _events(spark: SparkSession, sf_dir: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
-    rows = reader.parquet(f"{sf_dir}/raw_events.parquet").filter("samples IS NOT NULL")
-    one = rows.groupBy("log_id", "line_no").agg(F.max_by("samples", F.struct("received_at")).alias("samples"))
+    rows = reader.parquet(f"{sf_dir}/raw_events.parquet").filter("samples IS NOT NULL").select("log_id", "line_no", "received_at", "samples")
+    one = joins.last_delivery(rows, ["log_id", "line_no"], "received_at")
     return one.select(F.concat_ws("#", "log_id", F.col("line_no").cast("string")).alias("record_id"), "samples")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = shred.shred_files(_last_scans(spark, sf_dir), "file_id", "content", _scan_entities(spark, sf_dir))
-    samples = shred.shred_lists(_events(spark, sf_dir, _SAMPLE_LEAVES), "record_id", "samples", "frames", "sample", "frame")
+    files = shred.shred_files(_placed_scans(spark, sf_dir), "file_id", "content", _SCAN_ENTITIES, "places", cells=False)
+    samples = shred.shred_lists(_events(spark, sf_dir, _SAMPLE_LEAVES), "record_id", "samples", "frames", "sample", "frame", cells=False)
     return files.unionByName(samples).select("record_id", "entity", "row_path")
 
 
 def p5_scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of a stored scan in one, each row with its parent's path and its own values, pooled strings written out."""
-    texts = _last_scans(spark, sf_dir).withColumn("content", F.udf(shred.expand_report, "string", useArrow=True)("content"))
-    return shred.shred_files(texts, "file_id", "content", _scan_entities(spark, sf_dir))
+    texts = _placed_scans(spark, sf_dir).withColumn("content", F.udf(shred.expand_report, "string", useArrow=True)("content"))
+    return shred.shred_files(texts, "file_id", "content", _SCAN_ENTITIES, "places")
 
 
 def p5_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred_lists(_events(spark, sf_dir), "record_id", "samples", "frames", "sample", "frame")
+    """Samples and frames with their parent's path and their own values, as text in the order of the names."""
+    rows = shred.shred_lists(_events(spark, sf_dir), "record_id", "samples", "frames", "sample", "frame")
+    entries = F.transform(F.array_sort(F.map_entries("cells")), lambda c: F.concat_ws("=", c["key"], c["value"]))
+    return rows.withColumn("cells", F.array_join(entries, ","))
 
 
 def _calls_tree(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
-    return hierarchy.hierarchy(_read(spark, sf_dir, "call_records"), "call_id", "parent_call_id", near=["log_id", "start_us"], **more)
+    return hierarchy.hierarchy(_read(spark, sf_dir, "call_records"), "call_id", "parent_call_id", near=["log_id", "start_us"], agreed=True, **more)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,40 +98,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select(F.col("node_id").alias("call_id"), fault.alias("fault"), F.col("top_id").alias("top_call_id")).filter("fault IS NOT NULL")
 
 
-def _calls_descendants(spark: SparkSession, sf_dir: str, tree: DataFrame) -> DataFrame:
-    """Descendants of every call, those on and below cycles with them."""
-    under = hierarchy.cycle_trees(tree, _read(spark, sf_dir, "call_records"), "call_id", "parent_call_id", ["log_id", "start_us"])
+def _calls_below(spark: SparkSession, sf_dir: str, tree: DataFrame) -> DataFrame:
+    """Descendants of every call; below a cycle from its member that the call hangs on."""
+    under = hierarchy.cycle_trees(tree, _read(spark, sf_dir, "call_records"), "call_id", "parent_call_id", ["log_id", "start_us"], agreed=True)
     return hierarchy.descendants(tree.select("node_id", "path").unionByName(under.select("node_id", "path")))
 
 
-def _counted(tree: DataFrame, below: DataFrame) -> DataFrame:
-    below = below.withColumnRenamed("ancestor_id", "node_id")
+def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call's root, depth, path and number of descendants."""
+    tree = materialize(_calls_tree(spark, sf_dir, paths=True), "tree")
+    below = _calls_below(spark, sf_dir, tree).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"))
     return tree.join(below, "node_id", "left").select(
         F.col("node_id").alias("call_id"), "top_id", "depth", "state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants")
     )
 
 
-def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call's root, depth, path and number of descendants; as in its SQL, nothing is counted on and below cycles."""
-    tree = _calls_tree(spark, sf_dir, paths=True)
-    return _counted(tree, hierarchy.descendant_counts(tree))
-
-
-def p6_hierarchy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the descendants of calls on and below cycles."""
-    tree = materialize(_calls_tree(spark, sf_dir, paths=True), "tree")
-    return _counted(tree, _calls_descendants(spark, sf_dir, tree).groupBy("ancestor_id").agg(F.count("*").alias("n_descendants")))
-
-
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in its SQL, without calls on and below cycles."""
-    return hierarchy.descendants(_calls_tree(spark, sf_dir, paths=True))
-
-
-def p6_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls_descendants(spark, sf_dir, materialize(_calls_tree(spark, sf_dir, paths=True), "tree"))
+    return _calls_below(spark, sf_dir, materialize(_calls_tree(spark, sf_dir, paths=True), "tree"))
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_stored_scans, p1_saved_suggestions, p2_found, p5_found, p5_scan_rows, p5_sample_rows, p6_found, p6_hierarchy, p6_descendants, p6_hierarchy_all, p6_descendants_all)
+    f.__name__: f for f in (p1_found, p1_stored_scans, p1_saved_suggestions, p2_found, p5_found, p5_scan_rows, p5_sample_rows, p6_found, p6_hierarchy, p6_descendants)
 }

@@ -26,59 +26,39 @@ WITH e AS (
 ), f AS (
   SELECT record_id, i, unnest(s.frames) AS f, generate_subscripts(s.frames, 1) - 1 AS j FROM s WHERE s IS NOT NULL
 )
+SELECT record_id, 'sample' AS entity, CAST(i AS VARCHAR) AS row_path, CAST(NULL AS VARCHAR) AS parent_path, concat_ws(',', 'count=' || s.count, 'value_ns=' || s.value_ns) AS cells FROM s WHERE s IS NOT NULL
+UNION ALL SELECT record_id, 'frame', i || '.' || j, CAST(i AS VARCHAR), concat_ws(',', 'file=' || f.file, 'is_system=' || f.is_system, 'line=' || f.line, 'module=' || f.module, 'name=' || f.name, 'qualified_name=' || f.qualified_name)
+FROM f WHERE f IS NOT NULL
 """
 
 P6_LINKS = """
-WITH RECURSIVE n AS (
-  SELECT call_id, min(nullif(parent_call_id, '')) AS parent, any_value(depth) AS depth FROM call_records GROUP BY call_id
-), up AS (
-  SELECT call_id AS id, call_id AS at, CAST(0 AS BIGINT) AS d, ['' || call_id] AS path FROM n
-  UNION ALL
-  SELECT up.id, n.parent, up.d + 1, list_prepend(n.parent, up.path) FROM up JOIN n ON n.call_id = up.at JOIN n AS m ON m.call_id = n.parent
-  WHERE NOT list_contains(up.path, n.parent)
-), last AS (
-  SELECT id, max(d) AS d FROM up GROUP BY id
-), ends AS (
-  SELECT up.id, up.at, up.d, up.path, n.parent FROM up JOIN last ON last.id = up.id AND last.d = up.d JOIN n ON n.call_id = up.at
-), marked AS (
-  SELECT e.*, CASE WHEN e.parent IS NULL THEN 'rooted' WHEN m.call_id IS NULL THEN 'orphan' WHEN list_contains(e.path, e.parent) THEN
-    CASE WHEN e.parent = e.id THEN 'on_cycle' ELSE 'below_cycle' END END AS state
-  FROM ends e LEFT JOIN n AS m ON m.call_id = e.parent
-), rings AS (
-  SELECT id AS member, list_min(path) AS least FROM marked WHERE state = 'on_cycle'
-)
-"""
-
-P6_FOUND = (
-    P6_LINKS
-    + """
-SELECT k.id AS call_id,
-  CASE WHEN k.state <> 'rooted' THEN k.state ELSE 'wrong_depth' END AS fault,
-  CASE WHEN k.state IN ('on_cycle', 'below_cycle') THEN r.least ELSE k.at END AS top_call_id
-FROM marked k JOIN n ON n.call_id = k.id LEFT JOIN rings r ON r.member = k.at
-WHERE k.state <> 'rooted' OR (n.depth IS NOT NULL AND n.depth <> k.d)
-"""
-)
+WITH RECURSIVE n AS MATERIALIZED (
+  SELECT call_id AS id, min(nullif(parent_call_id, '')) AS parent, any_value(depth) AS depth FROM call_records WHERE call_id IS NOT NULL GROUP BY call_id
+), down AS (
+  SELECT id, id AS top, CAST(0 AS BIGINT) AS d, id AS path, CASE WHEN parent IS NULL THEN 'rooted' ELSE 'orphan' END AS state FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n)
+  UNION ALL SELECT n.id, down.top, down.d + 1, down.path || '/' || n.id, down.state FROM down JOIN n ON n.parent = down.id
+), loose AS MATERIALIZED (
+  SELECT id, parent FROM n WHERE id NOT IN (SELECT id FROM down)
+), walk AS (
+  SELECT id, parent AS via FROM loose UNION SELECT walk.id, l.parent FROM walk JOIN loose l ON l.id = walk.via
+), ring AS MATERIALIZED (
+  SELECT id FROM walk WHERE via = id
+), marked AS MATERIALIZED (
+  SELECT id, top, d, path, state FROM down
+  UNION ALL SELECT w.id, min(w.via), NULL, NULL, CASE WHEN w.id IN (SELECT id FROM ring) THEN 'on_cycle' ELSE 'below_cycle' END FROM walk w WHERE w.via IN (SELECT id FROM ring) GROUP BY w.id
+)"""
+_BELOW = """, pairs AS (
+  SELECT n.parent AS up, n.id, CAST(1 AS BIGINT) AS d FROM n JOIN n AS p ON p.id = n.parent WHERE n.id NOT IN (SELECT id FROM ring)
+  UNION ALL SELECT n.parent, pairs.id, pairs.d + 1 FROM pairs JOIN n ON n.id = pairs.up JOIN n AS p ON p.id = n.parent WHERE pairs.up NOT IN (SELECT id FROM ring)
+)"""
 
-P6_DESCENDANTS = (
-    P6_LINKS
-    + """
-SELECT up.at AS ancestor_id, up.id AS node_id, up.d AS distance FROM up JOIN marked k ON k.id = up.id WHERE up.d > 0 AND k.state IN ('rooted', 'orphan')
+P6_FOUND = P6_LINKS + """
+SELECT m.id AS call_id, CASE WHEN m.state <> 'rooted' THEN m.state ELSE 'wrong_depth' END AS fault, m.top AS top_call_id
+FROM marked m JOIN n ON n.id = m.id WHERE m.state <> 'rooted' OR (n.depth IS NOT NULL AND n.depth <> m.d)
 """
-)
-
-P6_HIERARCHY = (
-    P6_LINKS
-    + """
-, below AS (SELECT up.at AS id, count(*) AS n FROM up JOIN marked k ON k.id = up.id WHERE up.d > 0 AND k.state IN ('rooted', 'orphan') GROUP BY up.at)
-SELECT k.id AS call_id,
-  CASE WHEN k.state IN ('on_cycle', 'below_cycle') THEN r.least ELSE k.at END AS top_id,
-  CASE WHEN k.state IN ('rooted', 'orphan') THEN k.d END AS depth,
-  k.state AS state,
-  CASE WHEN k.state IN ('rooted', 'orphan') THEN array_to_string(k.path, '/') END AS path,
-  CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants
-FROM marked k LEFT JOIN rings r ON r.member = k.at LEFT JOIN below b ON b.id = k.id
+P6_DESCENDANTS = P6_LINKS + _BELOW + " SELECT up AS ancestor_id, id AS node_id, d AS distance FROM pairs"
+P6_HIERARCHY = P6_LINKS + _BELOW + """, counts AS (SELECT up AS id, count(*) AS n FROM pairs GROUP BY up)
+SELECT m.id AS call_id, m.top AS top_id, m.d AS depth, m.state, m.path, CAST(coalesce(c.n, 0) AS BIGINT) AS n_descendants FROM marked m LEFT JOIN counts c ON c.id = m.id
 """
-)
 
-SQL = {"p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_hierarchy": P6_HIERARCHY, "p6_descendants": P6_DESCENDANTS}
+SQL = {"p2_found": P2_FOUND, "p5_sample_rows": P5_SAMPLES, "p6_found": P6_FOUND, "p6_hierarchy": P6_HIERARCHY, "p6_descendants": P6_DESCENDANTS}

@@ -46,19 +46,30 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage like a reliable checkpoint, survives the loss of
     executors, and being columnar and compressed takes less disk than one.
-    Later readers prune columns and push filters. The files go when the driver
-    process ends.
+    Later readers prune columns and push filters; ``by`` names columns whose
+    values get folders of their own, which a filter on them leaves unread. The
+    files go with ``release``, at the latest when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._stackloom_path = path
+    return got
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that no result depends on any more."""
+    path = getattr(df, "_stackloom_path", None)
+    if path:
+        _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -68,8 +79,3 @@ def _drop(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     except Exception:
         pass  # the session is gone already
-
-
-def row_estimate(df: DataFrame) -> int:
-    """Exact number of rows; for a plain Parquet scan this reads footers only."""
-    return df.count()

@@ -52,7 +52,8 @@ def test_renames_removals_additions_and_types(spark):
     assert table[1]["name"] == docs[1]["label"] and table[2]["box_width"] == docs[2]["carton"]["width"] and table[4]["size"] == 1004
     assert json.loads(table[6]["other"]["extra"]) == {"deep": 1} and table[9]["box"] is None and json.loads(table[9]["other"]["box"]) == [1]
     assert len(table) == 30
-    assert E.field_aliases(cells, "k", ["name"]) == {"name": ["name", "label"]}
+    places = {r["file_id"]: r["places"] for r in E.field_places(cells, "k", ["name"]).collect()}
+    assert places[1] == {"name": "label"} and places[2] == {"name": "name"}
 
 
 def test_last_readable_delivery_counts(spark):
@@ -74,7 +75,8 @@ def test_old_and_new_key_side_by_side(spark):
         cells, changes = E.resolve(files(spark, docs), fields)
         got = {(r["file_id"], r["field_path"], r["change_kind"]) for r in changes.collect()}
         assert got == {(i, "saved_at", "added") for i in range(10)} | {(i, "savedAt", "renamed") for i in range(10, 100)}
-        assert E.field_aliases(cells, "k", ["savedAt"]) == {"savedAt": ["savedAt", "saved_at"]}
+        places = {r["file_id"]: r["places"]["savedAt"] for r in E.field_places(cells, "k", ["savedAt"]).collect()}
+        assert all(places[i] == ("saved_at" if 10 <= i < 100 else "savedAt") for i in range(100 + new))
 
 
 def test_an_added_key_beside_a_field_is_no_rename(spark):
@@ -84,3 +86,60 @@ def test_an_added_key_beside_a_field_is_no_rename(spark):
     fields = spark.createDataFrame(FIELDS, "record_kind string, field_path string, json_type string, is_optional boolean")
     _, changes = E.resolve(files(spark, docs), fields)
     assert {r["field_path"] for r in changes.collect() if r["change_kind"] == "renamed"} == set()
+
+
+def test_values_that_differ_only_late_are_told_apart(spark):
+    """Two text fields with one opening of 300 characters, renamed to names that say nothing: only what follows tells which is which."""
+    opening = "the worker reads the table again and again " * 8
+    tails = {"one": "copper zinc nickel", "two": "oak birch maple"}
+    listed = [*FIELDS, ("k", "one", "string", False), ("k", "two", "string", False)]
+    docs = [{**base(i), **{f: f"{opening} {i} " + " ".join([t] * 30) for f, t in tails.items()}} for i in range(60)]
+    for i in range(20):
+        docs[i] = {{"one": "x17", "two": "x18"}.get(k, k): v for k, v in docs[i].items()}
+    fields = spark.createDataFrame(listed, "record_kind string, field_path string, json_type string, is_optional boolean")
+    cells, changes = E.resolve(files(spark, docs), fields)
+    assert {(r["file_id"], r["field_path"], r["change_kind"]) for r in changes.collect()} == {(i, f, "renamed") for i in range(20) for f in tails}
+    places = E.field_places(cells, "k", ["one", "two"]).filter("file_id = 3").first()["places"]
+    assert places == {"one": "x17", "two": "x18"}
+    a, b = E._sketch([1, 2, 3, {"tail": 1}]), E._sketch([1, 2, 3, {"other": 1}])
+    assert a != b and len(E._sketch(" ".join(map(str, range(100_000))))) <= E.SKETCH_WIDTH
+
+
+def test_one_rule_for_the_delivery_that_counts(spark):
+    day = lambda d: datetime(2025, 1, d)
+    rows = [("k", 1, day(1), '{"name": "a"}'), ("k", 1, day(2), "[1,2]"), ("k", 2, day(1), '{"name": "b"}'), ("k", 2, day(1), '{"name": "c"}'), ("k", 3, None, '{"name": "d"}'), ("k", 3, day(3), "{"), ("k", None, day(3), "{}")]
+    df = spark.createDataFrame(rows, "kind string, file_id bigint, written_at timestamp, content string")
+    fields = spark.createDataFrame(FIELDS[:1], "record_kind string, field_path string, json_type string, is_optional boolean")
+    cells, _ = E.resolve(df, fields)
+    table = {r["file_id"]: r["name"] for r in E.unify(df, cells, fields, "k").collect()}
+    last = {r["file_id"]: json.loads(r["content"])["name"] for r in E.last_readable(df).collect()}
+    assert table == last and table[1] == "a" and table[2] in ("b", "c") and table[3] == "d"
+
+
+def test_conversions_keep_what_they_cannot_give_back():
+    assert E._convert(["a\nb", "c"], "string") == (None, False) and E._convert(["a", "b"], "string") == ("a\nb", True)
+    assert E._convert({"k": "x"}, "string") == ('{"k": "x"}', True)
+    assert E._convert("5%", "number") == E._convert("1,5", "number") == E._convert("v3", "integer") == E._convert("05", "integer") == E._convert(True, "integer") == (None, False)
+    assert E._convert("5", "number") == (5.0, True) and E._convert("5.5", "number") == (5.5, True) and E._convert("-7", "integer") == (-7, True) and E._convert(5, "number") == (5.0, True)
+    assert E._convert(2**63, "integer") == E._convert(2**60 + 1, "number") == E._convert(5.5, "integer") == E._convert("nan", "number") == (None, False)
+    assert E._convert("a,b", "array") == ('["a", "b"]', True) and E._convert([1], "object") == (None, False) and E._convert(None, "string") == (None, True)
+
+
+def test_json_deeper_than_the_call_stack(spark):
+    from stackloom.functions import json_text as J
+
+    deep = '{"name": "deep", "size": 1, "at": "x", "box": {"width": 1.5}, "odd": ' + "[" * 60_000 + "]" * 60_000 + "}"
+    assert J.dump(J.load(deep)) == deep.replace('"odd": ', '"odd": ')
+    for text in ('{"a": [1, {"b": null}, "x\\"y"], "c": {}}', "[]", "3", '"s"', "[1, [2, [3]]]", "true"):
+        assert J._load_deep(text) == json.loads(text)
+    for bad in ("", "{", "[1,]", '{"a"}', '{"a":}', "[1 2]", "[}", '{"a": 1]', "1 2", '{,}'):
+        try:
+            J._load_deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    docs = [base(i) for i in range(20)] + [deep]
+    fields = spark.createDataFrame(FIELDS, "record_kind string, field_path string, json_type string, is_optional boolean")
+    cells, changes = E.resolve(files(spark, docs), fields)
+    assert [tuple(r) for r in changes.collect()] == [("k", 20, "odd", "added")]
+    assert len(E.unify(files(spark, docs), cells, fields, "k").filter("file_id = 20").first()["other"]["odd"]) == 120_000

@@ -93,21 +93,19 @@ def test_descendants_below_cycles(spark, task_rows):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_query_of_all_descendants(spark):
-    import __spark_entry__ as entry
-
-    data = "/root/testdata/sf0.01"
-    calls = spark.read.parquet(f"{data}/call_records.parquet").select("call_id", "parent_call_id").collect()
-    parents = {}
-    for c, p in sorted(((c, p or None) for c, p in calls if c is not None), key=lambda r: (r[0], r[1] is None, r[1] or "")):
-        parents.setdefault(c, p)
-    states = {x: v[2] for x, v in brute(parents).items()}
-    n = dict.fromkeys(parents, 0)
-    for x in parents:
-        y = x
-        while states[y] != "on_cycle" and parents[y] in parents:
-            y = parents[y]
-            n[y] += 1
-    assert any(n[x] for x in n if states[x] in ("on_cycle", "below_cycle"))
-    assert {r["call_id"]: r["n_descendants"] for r in entry.queries()["p6_hierarchy_all"](spark, data).collect()} == n
-    assert entry.queries()["p6_descendants_all"](spark, data).count() == sum(n.values())
+def test_deliveries_that_differ_in_place_count_once(spark):
+    rows = [(f"n{i}", f"n{i // 2}" if i else None, i) for i in range(40)] + [("n7", "n3", 900), ("n9", "n4", 1000)]
+    df = spark.createDataFrame(rows, "c string, p string, t int")
+    got = H.hierarchy(df, "c", "p", ["t"], True, task_rows=11).collect()
+    assert len(got) == 40 and {r["node_id"]: (r["top_id"], r["depth"], r["state"], r["path"]) for r in got} == brute({c: p for c, p, _ in rows})
+
+
+def test_rounds_without_locality_go_on_contracting(spark):
+    """Children lie far from their parents in the order of placement, so only the placement by links shrinks the forest."""
+    rnd = random.Random(1)
+    ids = [f"n{i:04d}" for i in range(600)]
+    parents = {x: None if i < 3 else ids[rnd.randrange(max(0, i - 40), i)] for i, x in enumerate(ids)}
+    parents["n0599"], parents["n0100"] = "n0100", "n0599" if rnd.random() < 2 else None
+    df = spark.createDataFrame([(x, p, rnd.random()) for x, p in parents.items()], "c string, p string, t double")
+    got = {r["node_id"]: (r["top_id"], r["depth"], r["state"], r["path"]) for r in H.hierarchy(df, "c", "p", ["t"], True, task_rows=100).collect()}
+    assert got == brute(parents)

@@ -53,3 +53,26 @@ def test_empty_and_clashing_columns(spark):
     assert run(empty) == []
     more = spark.createDataFrame([("a", 1, 2, "x", 9, "y")], "k string, s bigint, e bigint, kind string, __from bigint, session_window string")
     assert run(more) == [("a", "period", 1, 2)]
+
+
+def test_a_key_of_over_seventy_pieces_and_one_crowded_start(spark):
+    rnd = random.Random(9)
+    rows = [("hot", rnd.randint(0, 10**9), 0) for _ in range(2500)] + [("hot", 5_000_000 + rnd.randint(0, 30), 0) for _ in range(900)] + [("hot", 77, 0)] * 200 + [(None, i, 0) for i in range(60)] + [("cold", 5, 0)]
+    rows = [(k, s, s + rnd.choice([0, 3, 1000, 400_000])) for k, s, _ in rows]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    from stackloom.operators import intervals as I
+
+    cuts, few = I._cuts(df.selectExpr("k", "s AS __from", "e AS __to"), ["k"], 40)
+    bounds = {r["k"]: r["__bounds"] for r in cuts.collect()}
+    assert few and len(bounds["hot"]) >= 70 and set(bounds) == {"hot", None}
+    starts = sorted(s for k, s, _ in rows if k == "hot")
+    edges = [-1, *bounds["hot"], 10**12]
+    for a, b in zip(edges, edges[1:]):
+        inside = [s for s in starts if a <= s < b]
+        assert len(inside) - max(map(inside.count, set(inside)), default=0) <= 80
+    assert run(df, split_rows=40) == brute(rows)
+    I.BROADCAST_ENTITIES, before = 0, I.BROADCAST_ENTITIES
+    try:
+        assert run(df, split_rows=40) == brute(rows)
+    finally:
+        I.BROADCAST_ENTITIES = before
