@@ -50,13 +50,13 @@ def detect(symbols: DataFrame, externals: DataFrame, metrics: DataFrame) -> Data
     """
     real = symbols.filter(~P.is_synthetic(F.col("name")))
     tier = F.create_map(*[F.lit(x) for p in TIER_CONFIDENCE.items() for x in p])[F.col("tier")]
-    calls = externals.withColumnRenamed("src", "id").withColumnRenamed("name", "call").withColumnRenamed("line", "call_line").join(real.select("id", "line", "is_async"), "id").withColumn("sure", tier)
+    calls = externals.select(F.col("src").alias("id"), F.col("name").alias("call"), F.col("line").alias("call_line"), "category", "tier", "in_loop", "in_await").join(real.select("id", "line", "is_async"), "id").withColumn("sure", tier)
     gather = [F.min("call_line").alias("line"), F.max("sure").alias("sure"), F.sort_array(F.collect_set("call")).alias("evidence"), F.count("*").alias("n")]
     method = P.is_method_call(F.col("call"))
     by = lambda cond: calls.filter(cond).groupBy("id").agg(*gather)
     high, medium, low = F.lit("high"), F.lit("medium"), F.lit("low")
-    p90 = _p90(metrics)
-    hot = metrics.select("id", ((F.col("rank") >= F.lit(p90)) & F.lit(p90 > 0)).alias("hot"), "call_sites", "is_recursive")
+    p90 = rank_bound(metrics)
+    hot = metrics.select("id", ((F.col("rank") >= p90) & (p90 > 0)).alias("hot"), "call_sites", "is_recursive")
     out = [
         _finding(by(F.col("in_loop") & method & F.col("category").isin("db", "cache")), "n_plus_one", high, F.lit("small"), F.col("sure")),
         _finding(by(F.col("is_async") & ~F.col("in_await") & method & F.col("category").isin(BLOCKING)), "blocking_in_async", high, F.lit("trivial"), F.col("sure")),
@@ -81,23 +81,22 @@ def detect(symbols: DataFrame, externals: DataFrame, metrics: DataFrame) -> Data
     return found.select(*_COLUMNS)
 
 
-def _p90(metrics: DataFrame) -> float:
+def rank_bound(metrics: DataFrame) -> Column:
+    """The rank at the 90th percentile, zero without any: a scalar subquery."""
     from stackloom.operators.graph import floor_percentile
 
-    row = floor_percentile(metrics, "rank", 0.9).first()
-    return float(row[0] or 0.0) if row else 0.0
+    return F.coalesce(floor_percentile(metrics, "rank", 0.9).scalar(), F.lit(0.0))
 
 
-def bump_severity(findings: DataFrame, percent: Column, rank: Column, call_sites: Column, p90: float) -> DataFrame:
+def bump_severity(findings: DataFrame, percent: Column, rank: Column, call_sites: Column, p90: float | Column) -> DataFrame:
     """Raise severities of findings on hot code, before duplicates are dropped.
 
     Boosts: a fifth of the total or more, a rank at the 90th percentile or above,
     ten call sites or more. Low needs two for medium and three for high, medium
     needs two. Without a positive percentile nothing changes.
     """
-    if p90 <= 0:
-        return findings
-    boosts = (percent >= 20).cast("int") + (rank >= p90).cast("int") + (call_sites >= 10).cast("int")
+    p90 = p90 if isinstance(p90, Column) else F.lit(float(p90))
+    boosts = F.when(p90 > 0, F.coalesce((percent >= 20).cast("int"), F.lit(0)) + F.coalesce((rank >= p90).cast("int"), F.lit(0)) + F.coalesce((call_sites >= 10).cast("int"), F.lit(0))).otherwise(0)
     s = F.col("severity")
     return findings.withColumn("severity", F.when((s == "low") & (boosts == 3), "high").when((s == "low") & (boosts == 2), "medium").when((s == "medium") & (boosts >= 2), "high").otherwise(s))
 
@@ -168,11 +167,11 @@ def roots_overview(roots: DataFrame, findings: DataFrame, edges: DataFrame, name
     ``roots``: id, size. ``findings``: root, severity. Shares are of the roots' sizes
     together.
     """
-    total = roots.agg(F.sum("size")).first()[0] or 0
+    total = F.coalesce(roots.agg(F.sum("size")).scalar(), F.lit(0))
     by = findings.groupBy("root", "severity").count().groupBy("root").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "count")))).alias("severities"))
     up = edges.groupBy("dst").agg(F.count("*").alias("callers"))
     called = edges.join(roots.select(F.col("id").alias("src")), "src").join(names.select(F.col("id").alias("dst"), "name"), "dst")
     down = called.withColumn("__n", F.row_number().over(W.partitionBy("src").orderBy("ord", "dst"))).filter(F.col("__n") <= first).groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "name"))), lambda x: x["name"]).alias("callees"))
     got = roots.join(by, roots["id"] == by["root"], "left").join(up, roots["id"] == up["dst"], "left").join(down, roots["id"] == down["src"], "left")
-    share = F.col("size") / F.lit(total) * 100 if total else F.lit(0.0)
+    share = F.coalesce(F.try_divide(F.col("size"), total) * 100, F.lit(0.0))
     return got.select("id", "size", share.alias("percent"), "severities", F.coalesce("callers", F.lit(0)).alias("callers"), "callees").orderBy(F.desc("size"), "id")

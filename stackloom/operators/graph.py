@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stackloom.functions import predicates as P
 from stackloom.operators.joins import containing, first_per_key
-from stackloom.session import materialize
+from stackloom.operators.skew import HEAVY_SHARE
+from stackloom.session import materialize, release
 
 ALPHA, TOLERANCE, MAX_ITERATIONS = 0.85, 1e-6, 100
 MAX_DEPTH, MAX_ROOTS, MIN_REACH = 12, 200, 2
-#: Graphs up to this many edges are given to every task whole; beyond it joins take over.
-SMALL_EDGES = 200_000
-#: Reach is counted by components in graphs with more edges a vertex than this.
-CONDENSE_FROM = 1.0
 
 
 def enclosing_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -114,25 +110,33 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = MAX_ITERAT
     """id, rank: teleport (1 - alpha) / N, the mass of vertices without edges spread evenly, until the L1 change is below the tolerance.
 
     Each round joins the ranks with the edges and adds up by target (combined
-    before the shuffle); the round's result is written to the shared folder, so
-    lineage stays short. Only two numbers a round reach the driver. ``tolerance``
-    None runs all iterations.
+    before the shuffle). A source with over 1/1,024 of the edges is spread: its rank
+    is copied, once for each such share, and its edges go to the copies by their
+    target. The round's result is written to the shared folder, so lineage stays
+    short, and the one before is dropped. Only two numbers a round reach the
+    driver. ``tolerance`` None runs all iterations.
     """
     ids = vertices.select("id").distinct()
     out_degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = materialize(edges.join(out_degree, "src").select("src", "dst", "deg"), "links")
-    ids = materialize(ids.join(out_degree, ids["id"] == out_degree["src"], "left").select("id", F.col("deg").isNull().alias("sink")), "vertices")
+    floor = max(1, int(links.count() * HEAVY_SHARE))
+    copies = F.expr(f"cast(deg div {floor} + 1 as int)")
+    links = links.withColumn("salt", F.pmod(F.xxhash64("dst"), copies).cast("int"))
+    ids = materialize(ids.join(out_degree, ids["id"] == out_degree["src"], "left").select("id", "deg"), "vertices")
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    ranks, last = ids.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(iterations):
-        lost = ranks.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        lost = ranks.filter("deg IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        share = ranks.filter("deg IS NOT NULL").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("part"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+        given = links.join(share, ["src", "salt"]).groupBy("dst").agg(F.sum("part").alias("got"))
         base = (1 - alpha) / n + alpha * lost / n
-        nxt = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "sink", F.col("rank").alias("old"), (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        nxt = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "deg", F.col("rank").alias("old"), (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
         nxt = materialize(nxt, "ranks")
-        ranks = nxt.select("id", "sink", "rank")
+        if last is not None:
+            release(last)
+        ranks, last = nxt.select("id", "deg", "rank"), nxt
         if tolerance is not None and nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break
     return ranks.select("id", "rank")
@@ -141,31 +145,62 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = MAX_ITERAT
 def _min_labels(edges: DataFrame, labels: DataFrame, forward: bool) -> DataFrame:
     """Fixed point of: each vertex takes the smallest label among its own and those of the vertices with an edge to it."""
     a, b = ("src", "dst") if forward else ("dst", "src")
+    last = None
     while True:
         sent = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).join(labels, "id").groupBy("to").agg(F.min("label").alias("got"))
         nxt = materialize(labels.join(sent, labels["id"] == sent["to"], "left").select("id", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("moved")), "labels")
         moved = not nxt.filter("moved").isEmpty()
-        labels = nxt.select("id", "label")
+        if last is not None:
+            release(last)
+        labels, last = nxt.select("id", "label"), nxt
         if not moved:
             return labels
 
 
+def _trim(left: DataFrame) -> DataFrame:
+    """The edges among vertices that have edges both in and out, taken away until nothing changes."""
+    while True:
+        before = left.count()
+        left = materialize(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+        if left.count() == before:
+            return left
+
+
+def _flooded(edges: DataFrame, seed: DataFrame, forward: bool) -> DataFrame:
+    """id of everything that a set of vertices reaches (or is reached from): one shuffle a step, the front only."""
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    found = front = materialize(seed.select("id").distinct(), "flood")
+    while True:
+        nxt = front.join(edges, front["id"] == edges[a]).select(F.col(b).alias("id")).distinct().join(found, "id", "left_anti")
+        front = materialize(nxt, "flood")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of the vertices in strongly connected components of more than one vertex.
 
-    Forward-backward colouring: vertices without an edge in or out are trimmed;
-    each other takes the smallest id that reaches it; those that their colour's
-    own vertex is reached from form its component; the rest goes another round.
+    Vertices without an edge in or out are trimmed. Then the vertex of most edges
+    is taken for a pivot: what it reaches and is reached from is its component, by
+    two floods whose steps are as many as the longest shortest path from it; in
+    most graphs that is the one large component. The rest is coloured: each vertex
+    takes the smallest id that reaches it; those from which their colour's own
+    vertex is reached form its component; what is left goes another round.
     """
-    left = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
-    out: DataFrame | None = None
+    left = _trim(materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "edges"))
+    found: list[DataFrame] = []
+    if not left.isEmpty():
+        ends = left.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        pivot = ends.groupBy("id").agg((F.sum("o") * F.sum("i")).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+        pivot = materialize(pivot, "pivot")
+        both = materialize(_flooded(left, pivot, True).join(_flooded(left, pivot, False), "id"), "component")
+        members = materialize(both.select("id").withColumn("component", F.lit(both.agg(F.min("id")).first()[0])), "components")
+        found.append(members)
+        left = _without(left, members)
     while True:
-        while True:  # trim
-            before = left.count()
-            left = materialize(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
-            if left.count() == before:
-                break
-        if before == 0:
+        left = _trim(left)
+        if left.isEmpty():
             break
         ids = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         colour = _min_labels(left, ids.withColumn("label", F.col("id")), True)
@@ -174,55 +209,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
         seeds = colour.withColumn("label", F.when(F.col("id") == F.col("label"), F.lit("0")).otherwise(F.lit("1")))
         reach = _min_labels(inner, seeds, False).filter("label = '0'").select("id")
         members = materialize(colour.join(reach, "id").select("id", F.col("label").alias("component")), "components")
-        out = members if out is None else out.unionByName(members)
-        left = left.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti")
-    if out is None:
+        found.append(members)
+        left = materialize(_without(left, members), "edges")
+    if not found:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
     big = out.groupBy("component").count().filter("count > 1").select("component")
     return out.join(big, "component").select("id", "component")
 
 
-def _reach_small(sources: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
-    """The same with the edges (counted, at most SMALL_EDGES) at hand in every task: a breadth-first walk per source."""
-    pairs = [(r["src"], r["dst"]) for r in step.collect()]
-    kind = dict(sources.dtypes)["id"]
-    shared = sources.sparkSession.sparkContext.broadcast(pairs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = defaultdict(list)
-        for a, b in shared.value:
-            out[a].append(b)
-        for pdf in batches:
-            rows = []
-            for root in pdf["id"]:
-                hops, front = {root: 0}, [root]
-                while front and (max_depth is None or hops[front[0]] < max_depth):
-                    fresh = dict.fromkeys(b for a in front for b in out[a] if b not in hops)
-                    hops.update(dict.fromkeys(fresh, hops[front[0]] + 1))
-                    front = list(fresh)
-                rows += [(root, k, h) for k, h in hops.items()]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["root", "id", "hops"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["root", "id", "hops"])
-
-    return sources.select("id").distinct().mapInPandas(run, f"root {kind}, id {kind}, hops int")
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that touch none of some vertices."""
+    return edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
 def reachable(sources: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, id, hops of everything each source (column id) reaches, itself included.
 
-    A small graph is walked source by source. For a larger one a round extends
-    only the pairs found last and drops those known already, so cycles end. The
-    result has as many rows as the reaches add up to.
+    A round extends only the pairs found last and drops those known already, so
+    cycles end. The result has as many rows as the reaches add up to.
     """
     step = materialize(edges.select("src", "dst").distinct(), "steps")
-    if step.count() <= SMALL_EDGES:
-        return _reach_small(sources, step, max_depth)
-    return _reach_joins(sources, step, max_depth)
-
-
-def _reach_joins(sources: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
     found = front = materialize(sources.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct(), "reach")
     hops = 0
     while max_depth is None or hops < max_depth:
@@ -238,21 +247,28 @@ def _reach_joins(sources: DataFrame, step: DataFrame, max_depth: int | None) ->
 def reach_counts(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """id, reach: how many vertices each source reaches, itself included.
 
-    With more than CONDENSE_FROM edges a vertex large components are likely. Their
-    members reach the same, so pairs are then formed between components only and
-    the components' sizes added up.
+    Strongly connected components are counted as one vertex of their size. The
+    largest of them, the hub, with all it reaches is flooded once: what reaches the
+    hub reaches all of that, so for such sources only the vertices outside are
+    counted source by source, and for the others those that they reach without it.
     """
     step = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "steps")
-    ends = step.select(F.col("src").alias("id")).union(step.select("dst")).distinct().count()
-    if step.count() <= CONDENSE_FROM * ends:
-        return reachable(sources, step).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reach"))
     parts = materialize(strong_components(step), "components")
-    sizes = parts.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("size"))
+    sizes = materialize(parts.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("size")), "sizes")
     label = lambda df, c: df.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    between = label(label(step, "src"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).filter("src <> dst").distinct()
-    starts = label(sources.select("id").distinct(), "id")
-    pairs = reachable(starts.select(F.col("id_part").alias("id")), between)
-    sums = pairs.join(sizes, "id", "left").groupBy(F.col("root").alias("id_part")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("reach"))
+    between = materialize(label(label(step, "src"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).filter("src <> dst").distinct(), "between")
+    starts = materialize(label(sources.select("id").distinct(), "id"), "starts")
+    roots = starts.select(F.col("id_part").alias("id")).distinct()
+    one = F.coalesce("size", F.lit(1))
+    hub = materialize(sizes.orderBy(F.desc("size"), "id").limit(1).select("id"), "hub")
+    below = _flooded(between, hub, True)
+    above = _flooded(between, hub, False)
+    under = below.join(sizes, "id", "left").agg(F.coalesce(F.sum(one), F.lit(0))).first()[0]
+    outside = materialize(_without(between, below), "between")
+    through = reachable(roots.join(above, "id", "left_semi").join(below, "id", "left_anti"), outside).join(sizes, "id", "left").groupBy("root").agg((F.sum(one) + under).alias("reach"))
+    itself = roots.join(hub, "id", "left_semi").select(F.col("id").alias("root"), F.lit(under).cast("bigint").alias("reach"))
+    past = reachable(roots.join(above, "id", "left_anti"), between).join(sizes, "id", "left").groupBy("root").agg(F.sum(one).alias("reach"))
+    sums = through.unionByName(itself).unionByName(past).withColumnRenamed("root", "id_part")
     return starts.join(sums, "id_part").select("id", "reach")
 
 
@@ -274,10 +290,16 @@ def dead_code(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataF
     return rows.join(called, "id", "left_anti").join(entries.select("id").distinct(), "id", "left_anti").orderBy("file", "line")
 
 
+def recursive_symbols(edges: DataFrame, sourced: DataFrame, symbols: DataFrame) -> DataFrame:
+    """id of the symbols that call themselves: in a component of several, or by their own name where they stand."""
+    own = sourced.join(symbols.select(F.col("id").alias("src"), "name").distinct(), ["src", "name"], "left_semi").select(F.col("src").alias("id"))
+    return strong_components(edges).select("id").unionByName(own).distinct()
+
+
 def find_entry(symbols: DataFrame, name: str) -> DataFrame:
-    """Symbols of exactly that name, else those whose id contains it."""
+    """Symbols of exactly that name, else those whose name contains it."""
     exact = symbols.filter(F.col("name") == name)
-    return exact if not exact.isEmpty() else symbols.filter(F.contains("id", F.lit(name)))
+    return exact if not exact.isEmpty() else symbols.filter(F.contains("name", F.lit(name)))
 
 
 def expand_trees(roots: DataFrame, edges: DataFrame, accessors: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -371,11 +393,12 @@ def floor_percentile(df: DataFrame, value: str, q: float = 0.9) -> DataFrame:
     these.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    at = min(int(q * total), max(total - 1, 0))
     ranges = counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("__p", F.spark_partition_id())
     ranges = materialize(ranges, "sorted")
-    parts = ranges.groupBy("__p").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    hit = ranges.join(parts.filter((F.col("before") <= at) & (F.col("before") + F.col("s") > at)), "__p")
+    parts = ranges.groupBy("__p").agg(F.sum("n").alias("s"))  # a row a partition
+    upto = W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
+    parts = parts.withColumn("before", F.sum("s").over(upto) - F.col("s")).withColumn("total", F.sum("s").over(W.partitionBy()))
+    at = F.least(F.floor(F.lit(q) * F.col("total")).cast("bigint"), F.col("total") - 1)
+    hit = ranges.join(F.broadcast(parts.withColumn("at", at).filter("before <= at AND before + s > at")), "__p")  # one row
     run = F.col("before") + F.sum("n").over(W.partitionBy("__p").orderBy(value))
-    return hit.withColumn("upto", run).filter(F.col("upto") > at).agg(F.min(value).alias(value))
+    return hit.withColumn("upto", run).filter("upto > at").agg(F.min(value).alias(value))

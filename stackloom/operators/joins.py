@@ -7,30 +7,31 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stackloom.functions.scalar import basename
 from stackloom.session import materialize
 
-#: Offsets are matched within blocks of this many units, so that a long file is many join keys.
-BLOCK = 4096
-
-
-def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, point_id: str, order: list[str], strict: bool = False, block: int = BLOCK) -> DataFrame:
+def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, point_id: str, order: list[str], strict: bool = False) -> DataFrame:
     """points LEFT JOIN the narrowest range that holds them: all columns of points, then those of the range with ``r_`` before.
 
-    An equi-join on (by, block of the offset) with the bounds as a residual
-    condition; a range stands in every block it touches. Both ends count. Among
-    equally narrow ranges the first by ``order`` wins. With ``strict`` the range
-    must be wider than the point's own range (``start``/``end`` in points as well).
-    Null offsets match nothing.
+    An equi-join on (by, level, block) with the bounds as a residual condition. A
+    range's level is the power of two from its width on; blocks of a level are as
+    wide, so a range stands in two blocks at most however long it is, and in a
+    block a point meets only ranges of about the block's width. Both ends count.
+    Among equally narrow ranges the first by ``order`` wins. With ``strict`` the
+    range must be wider than the point's own range (``start``/``end`` in points as
+    well). Null offsets match nothing.
     """
-    r = ranges.select(*[F.col(c).alias(f"r_{c}") for c in ranges.columns])
-    r = r.filter(F.col(f"r_{end}") >= F.col(f"r_{start}")).withColumn("__b", F.explode(F.sequence(F.floor(F.col(f"r_{start}") / block), F.floor(F.col(f"r_{end}") / block))))
-    p = points.withColumn("__b", F.floor(F.col(at) / block))
-    cond = (p["__b"] == r["__b"]) & (p[at] >= r[f"r_{start}"]) & (p[at] <= r[f"r_{end}"])
+    r = ranges.select(*[F.col(c).alias(f"r_{c}") for c in ranges.columns]).filter(F.col(f"r_{end}") >= F.col(f"r_{start}"))
+    low, high = F.col(f"r_{start}").cast("bigint"), F.col(f"r_{end}").cast("bigint")
+    r = r.withColumn("__l", F.ceil(F.log2((high - low + 1).cast("double"))).cast("int"))
+    levels = sorted(x[0] for x in r.select("__l").distinct().collect())  # 64 at most
+    r = r.withColumn("__b", F.explode(F.array_distinct(F.array(F.expr(f"shiftright(cast(r_{start} as bigint), __l)"), F.expr(f"shiftright(cast(r_{end} as bigint), __l)")))))
+    p = points.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__b", F.expr(f"shiftright(cast({at} as bigint), __l)"))
+    cond = (p["__l"] == r["__l"]) & (p["__b"] == r["__b"]) & (p[at] >= r[f"r_{start}"]) & (p[at] <= r[f"r_{end}"])
     for c in by:
         cond = cond & (p[c] == r[f"r_{c}"])
     if strict:
         cond = cond & (p[end] <= r[f"r_{end}"]) & ((p[end] - p[start]) < (r[f"r_{end}"] - r[f"r_{start}"]))
-    found = p.join(r, cond).drop("__b")
+    rest = [c for c in r.columns if c not in ("__b", "__l")]
+    found = p.join(r, cond).select(point_id, *rest)
     width = F.col(f"r_{end}") - F.col(f"r_{start}")
-    rest = [c for c in r.columns if c != "__b"]
     best = found.groupBy(point_id).agg(F.min(F.struct(width.alias("__w"), *[F.col(f"r_{c}").alias(f"__o{i}") for i, c in enumerate(order)], *rest)).alias("__m"))
     best = best.select(F.col(point_id).alias("__id"), *[F.col(f"__m.{c}").alias(c) for c in rest])
     return points.join(best, points[point_id] == best["__id"], "left").drop("__id")

@@ -136,6 +136,12 @@ def callees(tree: DataFrame, name: str) -> DataFrame:
     return neighbours(tree, name).filter("side = 'callee'").drop("side").orderBy(F.desc("value"), "name")
 
 
+def tree_children(tree: DataFrame, path: list[str]) -> DataFrame:
+    """The nodes directly below a path, the heaviest first, then by name."""
+    here = F.array(*[F.lit(p) for p in path]).cast("array<string>")
+    return tree.filter((F.col("depth") == len(path) + 1) & (F.col("parent_path") == here)).orderBy(F.desc("value"), "name")
+
+
 def best_match(tree: DataFrame, predicate: Column) -> DataFrame:
     """The path of the heaviest node that meets a predicate; ties go to the smaller path."""
     return tree.filter(predicate).orderBy(F.desc("value"), "path").limit(1).select("path", "value")

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from stackloom.operators import profile
 from stackloom.plans import schemas
@@ -91,3 +91,23 @@ def last_lines(rows: DataFrame, keep: int, order: list[str]) -> DataFrame:
 def stop_all(spark: SparkSession) -> None:
     for query in spark.streams.active:
         query.stop()
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (event, query, batch, rows) at the start, after each micro-batch and at the end of every query."""
+
+    def __init__(self, report: Callable[[str, str, int, int], None]) -> None:
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        self.report("started", event.name or str(event.id), -1, 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.report("progress", p.name or str(p.id), p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.report("failed" if event.exception else "ended", str(event.id), -1, 0)
