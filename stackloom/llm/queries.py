@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackloom.llm import frequent as freq, langid, mixing, packing, percentiles, tokens
+from stackloom.operators import joins
 from stackloom.operators.skew import heavy_light_join
 from stackloom.session import materialize
 
@@ -67,7 +68,7 @@ def _frame_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.transform(F.coalesce("samples", F.expr(f"cast(array() as array<struct<count: bigint, frames: {_NAMES}>>)")), lambda s: F.struct(s["count"].alias("count"), s["frames"]["qualified_name"].alias("names")))
     stacks = F.filter(F.concat(F.array(own), inner), lambda s: (s["count"] > 0) & s["names"].isNotNull())
     lines = lines.select("log_id", "line_no", stacks.alias("stacks")).filter("size(stacks) > 0")
-    once = lines.groupBy("log_id", "line_no").agg(F.max_by("stacks", F.size("stacks")).alias("stacks"))
+    once = joins.last_delivery(lines.withColumn("n", F.size("stacks")), ["log_id", "line_no"], "n")
     once = materialize(once.select("stacks"), "stacks")
     stack = once.select(F.explode("stacks").alias("s"))
     return stack.select(F.explode("s.names").alias("value"), F.col("s.count").alias("weight"))
