@@ -83,7 +83,7 @@ def in_asset_dir(path: Column) -> Column:
     return in_ignored_dir(path, ASSET_DIRS)
 
 
-def is_test_token(token: Column) -> Column:
+def _looks_like_test(token: Column) -> Column:
     return any_of([token.rlike(p) for p in TEST_PATTERNS])
 
 
@@ -92,7 +92,7 @@ def is_test_path(path: Column) -> Column:
     parts = F.split(path, "/")
     dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    return F.exists(dirs, is_test_token) | is_test_token(stem)
+    return F.exists(dirs, _looks_like_test) | _looks_like_test(stem)
 
 
 def is_minified(path: Column, size: Column, head: Column) -> Column:

@@ -31,6 +31,7 @@ def _arg(methods: tuple[str, ...], test: str) -> str:
     return f"exists(flatten(transform({steps}, s -> s.args)), a -> {test})"
 
 
+# Names of clients, verbs and receivers by which the rules know a data layer.
 _TEMPLATE = "contains(a, '${')"
 _PY_FORMAT = "startswith(a, 'f\"') OR startswith(a, \"f'\") OR contains(a, ' % ')"
 _REPO = "(base RLIKE '(Repo|Repository)$' OR base = 'repo')"
@@ -341,14 +342,34 @@ def rule_histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id")
 
 
+def scan_files(files: DataFrame) -> DataFrame:
+    """The same from files (path, content), those left out unread in which no word of any track occurs."""
+    from stackloom.sources import code
+
+    return scan_workspace(code.extract(files.filter(may_concern(F.col("content")))))
+
+
 def attach_findings(findings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Findings with the tree node they belong to: node of the same file whose lines hold them, module entries last, small entries first, the deepest node; else null.
+    """Findings with the tree node they belong to (root, node_ord).
+
+    Of the nodes of the same file whose lines hold a finding: module entries last,
+    small entries first, the deepest node. Where none holds it, the first root of
+    that file, else the first node of it; where no tree has the file, the file's
+    own synthetic root, number 0 (``file_root`` of it).
 
     ``nodes``: root, node_ord, depth, file, line, loc, root_loc, root_is_module.
     """
     n = nodes.select(F.col("file").alias("n_file"), F.col("line").alias("n_line"), (F.col("line") + F.greatest("loc", F.lit(1))).alias("n_end"), "root", "node_ord", "depth", "root_loc", "root_is_module")
-    n = n.withColumn("n_block", F.explode(F.sequence(F.floor(F.col("n_line") / 128), F.floor(F.col("n_end") / 128))))  # lines are matched within blocks
-    hit = findings.join(n, (F.col("file") == F.col("n_file")) & (F.floor(F.col("line") / 128) == F.col("n_block")) & F.col("line").between(F.col("n_line"), F.col("n_end")), "left")
+    held = n.withColumn("n_block", F.explode(F.sequence(F.floor(F.col("n_line") / 128), F.floor(F.col("n_end") / 128))))  # lines are matched within blocks
+    hit = findings.join(held, (F.col("file") == F.col("n_file")) & (F.floor(F.col("line") / 128) == F.col("n_block")) & F.col("line").between(F.col("n_line"), F.col("n_end")), "left")
     order = F.struct("root_is_module", "root_loc", (-F.col("depth")).alias("d"), "root", "node_ord")
     keys = [c for c in findings.columns if c != "fused"]
-    return hit.groupBy(*keys).agg(F.min_by(F.struct("root", "node_ord"), order).alias("__n")).select(*keys, "__n.*")
+    got = hit.groupBy(*keys).agg(F.min_by(F.struct("root", "node_ord"), order).alias("__n"))
+    first = n.groupBy("n_file").agg(F.min_by(F.struct("root", "node_ord"), F.struct((F.col("node_ord") != 0).alias("inner"), "root", "node_ord")).alias("__f"))
+    got = got.join(first, got["file"] == first["n_file"], "left").withColumn("__n", F.when(F.col("__n.root").isNotNull(), F.col("__n")).otherwise(F.col("__f")))
+    return got.select(*keys, F.coalesce("__n.root", file_root(F.col("file"))).alias("root"), F.coalesce("__n.node_ord", F.lit(0)).cast(dict(nodes.dtypes)["node_ord"]).alias("node_ord"))
+
+
+def file_root(file: Column) -> Column:
+    """Id of the synthetic root of a file that no tree has."""
+    return F.concat_ws("::", file, F.lit("<orm_file>"), F.substring_index(file, "/", -1))

@@ -123,27 +123,43 @@ def _deliveries(files: DataFrame) -> DataFrame:
     return files.filter("content IS NOT NULL").select("kind", "file_id", at.alias("written_at"), F.xxhash64("content").alias("tie"), "content")
 
 
-def last_readable(files: DataFrame) -> DataFrame:
-    """kind, file_id, content of the last delivery of each file that is a JSON object: the rule of all that reads files here.
+def last_readable(files: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """kind, file_id, content[, beside] of the last delivery of each file that is a JSON object: the rule of all that reads files here.
 
-    Contents are moved once, to their file's other deliveries.
+    Contents are moved once, to their file's other deliveries. ``beside`` (kind,
+    file_id, beside; one row a file) is moved with them instead of being joined
+    afterwards; a file without such a row has null.
     """
+    more = beside is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: tuple | None = None
+        held: tuple = (None, None)
         for pdf in batches:
-            keep = []
-            for kind, file_id, text in zip(pdf["kind"], pdf["file_id"], pdf["content"]):
-                good = (kind, file_id) != done and _load(text) is not None
-                done = (kind, file_id) if good else done
+            keep, own = [], []
+            for kind, file_id, text, value in zip(pdf["kind"], pdf["file_id"], pdf["content"], pdf["beside"] if more else pdf["kind"]):
+                key = (kind, file_id)
+                if text is None:  # stands before the deliveries of its file
+                    held = (key, value)
+                good = key != done and _load(text) is not None
+                done = key if good else done
                 keep.append(good)
+                own.append(held[1] if held[0] == key else None)
+            if more:
+                pdf = pdf.assign(beside=pd.Series(own, index=pdf.index, dtype=object))
             yield pdf[keep]
 
-    rows = _deliveries(files).withColumn("file_id", F.col("file_id").cast("bigint")).filter("kind IS NOT NULL AND file_id IS NOT NULL")
+    rows = _deliveries(files).withColumn("file_id", F.col("file_id").cast("bigint"))
+    columns, schema = ["kind", "file_id", "content"], "kind string, file_id bigint, content string"
+    if more:
+        shape = beside.schema["beside"].dataType
+        rows = rows.withColumn("beside", F.lit(None).cast(shape)).unionByName(beside.select("kind", "file_id", "beside"), allowMissingColumns=True)
+        columns, schema = [*columns, "beside"], f"{schema}, beside {shape.simpleString()}"
+    rows = rows.filter("kind IS NOT NULL AND file_id IS NOT NULL")
     # an explicit number keeps the partitions apart: they are small in bytes, but parsing them takes long
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    spread = rows.repartition(parts, "kind", "file_id").sortWithinPartitions("kind", "file_id", F.desc("written_at"), F.desc("tie")).select("kind", "file_id", "content")
-    return spread.mapInPandas(run, "kind string, file_id bigint, content string")
+    order = ["kind", "file_id", F.col("content").isNotNull(), F.desc("written_at"), F.desc("tie")]
+    return rows.repartition(parts, "kind", "file_id").sortWithinPartitions(*order).select(*columns).mapInPandas(run, schema)
 
 
 def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
@@ -406,10 +422,10 @@ def resolve(files: DataFrame, fields: DataFrame, only: list[str] | None = None)
 
 
 def field_places(cells: DataFrame, kind: str, paths: list[str]) -> DataFrame:
-    """file_id, places: a map from each of the listed paths to the path under which it stands in the file."""
+    """kind, file_id, places: a map from each of the listed paths to the path under which it stands in the file."""
     mine = cells.filter((F.col("kind") == kind) & F.col("field_path").isin(paths))
-    one = mine.groupBy("file_id", "field_path").agg(F.min("raw_path").alias("raw_path"))
-    return one.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "raw_path"))).alias("places"))  # as long as the list of paths
+    one = mine.groupBy("kind", "file_id", "field_path").agg(F.min("raw_path").alias("raw_path"))
+    return one.groupBy("kind", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "raw_path"))).alias("places"))  # as long as the list of paths
 
 
 def _convert(value: object, json_type: str) -> tuple[object, bool]:
@@ -459,9 +475,9 @@ def unify(files: DataFrame, cells: DataFrame, fields: DataFrame, kind: str) -> D
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for file_id, text, places in zip(pdf["file_id"], pdf["content"], pdf["places"]):
+            for file_id, text, places in zip(pdf["file_id"], pdf["content"], pdf["beside"]):
                 value, row, other = _load(text) or {}, {"file_id": file_id}, {}
-                for place in places:
+                for place in places if places is not None else ():
                     got: object = value
                     for step in place["steps"]:
                         got = got.get(step) if isinstance(got, dict) else None
@@ -477,6 +493,5 @@ def unify(files: DataFrame, cells: DataFrame, fields: DataFrame, kind: str) -> D
             yield pd.DataFrame(rows, columns=["file_id", *(p.replace(".", "_") for p, _ in spec), "other"], dtype=object)
 
     mine = cells.filter(F.col("kind") == kind)
-    places = mine.groupBy("file_id").agg(F.collect_list(F.struct("field_path", "raw_path", F.split("raw_path", r"\.").alias("steps"))).alias("places"))
-    last = last_readable(files.filter(F.col("kind") == kind)).select("file_id", "content")
-    return last.join(places, "file_id").mapInPandas(build, schema)
+    places = mine.groupBy("kind", "file_id").agg(F.collect_list(F.struct("field_path", "raw_path", F.split("raw_path", r"\.").alias("steps"))).alias("beside"))
+    return last_readable(files.filter(F.col("kind") == kind), places).mapInPandas(build, schema)

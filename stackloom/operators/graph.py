@@ -76,7 +76,9 @@ def classify_calls(calls: DataFrame, imports: DataFrame, modules: DataFrame, rec
     """Adds category and tier: by the imported module of the receiver, else by its name, else by an unambiguous method name."""
     known = classify_modules(imports, modules)
     root = F.regexp_extract("module_path", r"([^./:]+)", 1)
-    keys = known.select("file", "category", F.explode(F.array_distinct(F.array("local_name", root))).alias("receiver")).groupBy("file", "receiver").agg(F.min("category").alias("by_module"))
+    # the name an import binds counts before the first part of its path
+    bound = F.explode(F.array(F.struct("local_name", F.lit(False).alias("part")), F.struct(root.alias("local_name"), F.lit(True).alias("part"))))
+    keys = known.select("file", "category", bound.alias("b")).groupBy("file", F.col("b.local_name").alias("receiver")).agg(F.min_by("category", F.struct("b.part", "category")).alias("by_module"))
     out = calls.join(keys, ["file", "receiver"], "left")
     out = out.join(receivers.select(F.lower("name").alias("__r"), F.col("category").alias("by_receiver")).dropDuplicates(["__r"]), F.lower("receiver") == F.col("__r"), "left")
     out = out.join(methods.select(F.col("name").alias("__m"), F.col("category").alias("by_method")).dropDuplicates(["__m"]), F.col("name") == F.col("__m"), "left")

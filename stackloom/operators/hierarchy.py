@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from stackloom.operators.skew import salted_join
+from stackloom.operators.skew import heavy_copies, salted_join
 from stackloom.session import materialize
 
 #: Rows that one contraction task holds at once.
@@ -190,10 +190,10 @@ def _solve(rows: DataFrame, count: int, near: list[str], paths: bool, task_rows:
         F.when(F.col("q_state").isin("o", "c", "cyclic"), "cyclic").when(F.col("e_state").isNull(), "orphan").when(F.col("e_state") == "o", "c").otherwise(F.col("e_state")).alias("f_state"),
         *([F.col("q_trail").alias("f_trail")] * paths),
     )
-    sizes = rest.groupBy("top").agg(F.count("*").alias("rows"))
-    final = materialize(final.join(sizes.hint("merge"), "top"), "tops")
-    total = final.agg(F.sum("rows")).first()[0] or 0
-    joined = salted_join(rest.drop("open"), final, ["top"], "rows", total, ["id"]).select(
+    final = materialize(final, "tops")
+    sizes = materialize(rest.groupBy("top").agg(F.count("*").alias("rows")), "sizes")
+    heavy = heavy_copies(sizes, ["top"], "rows", sizes.agg(F.sum("rows")).first()[0] or 0)
+    joined = salted_join(rest.drop("open"), final, ["top"], heavy, ["id"]).select(
         "id", F.col("f_top").alias("top"), (F.col("dist") + F.col("f_dist")).alias("dist"), F.col("f_state").alias("state"),
         *([F.concat("f_trail", "trail").alias("trail")] * paths), *carry,
     )
@@ -202,9 +202,9 @@ def _solve(rows: DataFrame, count: int, near: list[str], paths: bool, task_rows:
 
 def _lookup(tops: DataFrame, place: DataFrame, left: int) -> DataFrame:
     """tops LEFT JOIN place on out_parent, safe where many tops name one parent."""
-    named = tops.groupBy("out_parent").agg(F.count("*").alias("rows"))
-    found = place.join(named.hint("merge"), "out_parent")  # one row a node that is named, with the number of tops naming it
-    hit = materialize(salted_join(tops, found, ["out_parent"], "rows", left, ["id"]), "named")
+    named = materialize(tops.groupBy("out_parent").agg(F.count("*").alias("rows")), "named")
+    found = place.join(named.hint("merge"), "out_parent", "left_semi")  # one row a node that is named
+    hit = materialize(salted_join(tops, found, ["out_parent"], heavy_copies(named, ["out_parent"], "rows", left), ["id"]), "links")
     miss = tops.join(hit.select("id").hint("merge"), "id", "left_anti")
     return hit.unionByName(miss, allowMissingColumns=True)
 

@@ -28,16 +28,29 @@ def heavy_light_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col:
     return fact.join(heavy, keys).unionByName(rest.join(light, keys))
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col: str, total_rows: int, spread: list[str]) -> DataFrame:
-    """The same with rows of any size in ``dim``: nothing is broadcast but the heavy keys' names.
+def heavy_copies(counts: DataFrame, keys: list[str], rows_col: str, total_rows: int) -> DataFrame | None:
+    """Of keys with at least ``HEAVY_SHARE`` of all rows: keys and __copies, one for every such share; None where no key is heavy.
 
-    A heavy key's row is copied once for every ``HEAVY_SHARE`` of the fact rows it
-    meets, which makes 2,048 copies at most together, and the fact rows are spread
-    over the copies by a hash of the columns ``spread``.
+    These are 1,024 keys at most by counting, so their names may come to the driver.
     """
-    floor = max(1, int(total_rows * HEAVY_SHARE))
-    dim = dim.filter(_named(keys)).withColumn("__copies", F.expr(f"cast({rows_col} div {floor} + 1 as int)"))
-    heavy = F.broadcast(dim.filter("__copies > 1").select(*keys, "__copies"))
-    sides = dim.drop(rows_col).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
-    salted = fact.join(heavy, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__copies")).cast("int"), F.lit(0))).drop("__copies")
+    floor = max(2, int(total_rows * HEAVY_SHARE))
+    named = counts.filter(_named(keys)).filter(F.col(rows_col) >= floor).select(*keys, F.expr(f"cast({rows_col} div {floor} + 1 as int)").alias("__copies"))
+    found = named.collect()
+    return counts.sparkSession.createDataFrame(found, named.schema) if found else None
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], heavy: DataFrame | None, spread: list[str]) -> DataFrame:
+    """Inner equi-join of ``fact`` with one-row-per-key ``dim`` of any size; nothing is broadcast but the heavy keys' names.
+
+    ``heavy`` is what ``heavy_copies`` gives for the fact rows. A heavy key's row in
+    ``dim`` is copied, which makes 2,048 copies at most together, and its fact rows
+    are spread over the copies by a hash of the columns ``spread``. Null keys match
+    nothing.
+    """
+    dim = dim.filter(_named(keys))
+    if heavy is None:
+        return fact.join(dim.hint("merge"), keys)
+    names = F.broadcast(heavy)
+    sides = dim.join(names, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    salted = fact.join(names, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__copies")).cast("int"), F.lit(0))).drop("__copies")
     return salted.join(sides.hint("merge"), [*keys, "__salt"]).drop("__salt")

@@ -196,8 +196,7 @@ def _sources(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> DataFra
 
 def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain rules, predictions and their fusion over files of eight languages."""
-    files = _sources(spark, sf_dir, CHAIN_FILES)
-    return chainrules.scan_workspace(code.extract(files)).select("file", "line", "rule_id", "severity", F.round("confidence", 6).alias("confidence"), F.array_join("fused", ",").alias("fused"))
+    return chainrules.scan_files(_sources(spark, sf_dir, CHAIN_FILES)).select("file", "line", "rule_id", "severity", F.round("confidence", 6).alias("confidence"), F.array_join("fused", ",").alias("fused"))
 
 
 def code_rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,8 @@ def _placed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _stored_files(spark, sf_dir).filter("kind = 'stored_scan'")
     outer = [".".join(e.path[0]) for e in _SCAN_ENTITIES if e.parent is None]
     cells, _ = evolution.resolve(scans, _read(spark, sf_dir, "schema_fields"), outer)
-    return evolution.last_readable(scans).select("file_id", "content").join(evolution.field_places(cells, "stored_scan", outer), "file_id", "left")
+    places = evolution.field_places(cells, "stored_scan", outer).withColumnRenamed("places", "beside")
+    return evolution.last_readable(scans, places).select("file_id", "content", F.col("beside").alias("places"))
 
 
 #: Of the samples only the leaves from which rows are rebuilt; the scan reads no other column.

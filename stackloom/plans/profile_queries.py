@@ -14,6 +14,8 @@ from stackloom.sources import events as ev
 FOCUS = "feed.planner.MediaCodec.fetch_page"
 FILTER = "src !file:planner name:_"
 EXCLUDED = ["/planner.py", "/views.py"]
+#: Paths of the profiler itself, which are no user code either.
+OWN_PATHS = ["/codec.py"]
 #: Roots of the largest reach, and symbols of the largest fan-out, whose call trees are asked for.
 TREE_ROOTS, TREE_HUBS = 20, 20
 
@@ -84,7 +86,7 @@ def leaf_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def system_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _samples(spark, sf_dir, ["file"]).select(F.explode("frames").alias("f")).select("f.*")
-    return frames.groupBy(P.is_system_path(F.col("file")).alias("system"), P.is_test_path(F.coalesce("file", F.lit(""))).alias("test")).agg(F.count("*").alias("frames"))
+    return frames.groupBy(P.is_system_path(F.col("file"), OWN_PATHS).alias("system"), P.is_test_path(F.coalesce("file", F.lit(""))).alias("test")).agg(F.count("*").alias("frames"))
 
 
 def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

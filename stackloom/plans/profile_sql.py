@@ -220,7 +220,7 @@ SELECT rank, function, {_hotspot_category('function')} AS category,
     "sample_conservation": _SAMPLES + "SELECT CAST(len(frames) AS INT) AS depth, count(*) AS samples, CAST(sum(weight_us) AS BIGINT) AS weight_us, CAST(sum(ticks) AS BIGINT) AS ticks FROM samples GROUP BY 1",
     "leaf_exclude": f"WITH {_EVENTS} SELECT log_id, count(*) AS kept FROM ev WHERE frames IS NOT NULL AND NOT coalesce({_words('frames[1].file', EXCLUDED)}, false) GROUP BY log_id",
     "system_frames": _SAMPLES + """
-SELECT coalesce(contains(file, '/_profiler.cpython') OR contains(file, '/_profiler.abi3') OR contains(file, '_profiler.so') OR contains(file, '<frozen ') OR contains(file, '<built-in') OR contains(file, '/lib/python3.') OR contains(file, '/site-packages/'), false) AS system,
+SELECT coalesce(contains(file, '/_profiler.cpython') OR contains(file, '/_profiler.abi3') OR contains(file, '_profiler.so') OR contains(file, '<frozen ') OR contains(file, '<built-in') OR contains(file, '/lib/python3.') OR contains(file, '/site-packages/') OR contains(file, '/codec.py'), false) AS system,
   regexp_matches(coalesce(file, ''), '(^|/)[Tt]est[A-Z]|(^|/|[a-z0-9])(Tests?|Specs?|Mocks?)(/|[.][^./]*$|$)|(^|[^A-Za-z0-9])([Tt][Ee][Ss][Tt][Ss]?|[Ss][Pp][Ee][Cc][Ss]?|[Mm][Oo][Cc][Kk][Ss]?|[Tt]estdata)([^A-Za-z0-9]|$)') AS test, count(*) AS frames
 FROM (SELECT f.file AS file FROM fr) GROUP BY 1, 2""",
     "node_ids": _SAMPLES + f"""

