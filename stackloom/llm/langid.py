@@ -68,6 +68,7 @@ _CODE = re.compile(
 )
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+(?:[.!?。！？…]+(?=\s|$|[\"')»”’]|(?<=[。！？]))|\n|$|[.!?…]+)")
 _LETTER, _WIDE = re.compile(r"[^\W\d_]"), re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_LETTERS, _BEYOND_LATIN = re.compile(r"[^\W\d_]+"), re.compile("[\u0400-\u052f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _CYRILLIC, _OTHER = re.compile("[\u0400-\u052f]"), re.compile("[^\\W\\d_\u0400-\u052f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _COMPOUND = re.compile(r"(?<![A-Za-z0-9_$<>\-À-ɏ])[a-z]++(?:-[a-z]++)+" + _AFTER)
 _MARKS = str.maketrans("áàâãäåéèêëíìîïóòôõöúùûüñçýÿăőű", "aaaaaaeeeeiiiiooooouuuuncyyaou")
@@ -99,22 +100,23 @@ def evidence(prose: str) -> str:
     sentence's language; where nothing else is left they are scored.
     """
     text = prose
-    if not prose.isascii():
+    if _BEYOND_LATIN.search(prose):
         wide, cyrillic = 2.5 * len(_WIDE.findall(prose)), len(_CYRILLIC.findall(prose))
-        if wide or cyrillic:
-            latin = sum(map(str.isalpha, prose)) - 0.4 * wide - cyrillic
-            most = max(wide, cyrillic, latin)
-            for weight, letters in ((wide, _WIDE), (cyrillic, _CYRILLIC), (latin, _OTHER)):
-                if weight < most:
-                    text = letters.sub(" ", text)
+        latin = len("".join(_LETTERS.findall(prose))) - 0.4 * wide - cyrillic
+        most = max(wide, cyrillic, latin)
+        for weight, letters in ((wide, _WIDE), (cyrillic, _CYRILLIC), (latin, _OTHER)):
+            if weight < most:
+                text = letters.sub(" ", text)
+    if "-" not in text:
+        return text if text is prose or _LETTER.search(text) else prose
     text = _COMPOUND.sub(" ", text)
     return text if _LETTER.search(text) else prose
 
 
 def _letters(text: str) -> int:
     """Letters, an ideograph or kana counted as two and a half, as it stands for as much prose."""
-    count = sum(map(str.isalpha, text))
-    return count if text.isascii() else int(count + 1.5 * len(_WIDE.findall(text)))
+    count = len("".join(_LETTERS.findall(text)))
+    return int(count + 1.5 * len(_WIDE.findall(text))) if _BEYOND_LATIN.search(text) else count
 
 
 def ngram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
