@@ -129,8 +129,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = MAX_ITERAT
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank"))
     ranks, last = ids.withColumn("rank", F.lit(1.0 / n)), None
+    lost = ids.filter("deg IS NULL").count() / n
     for _ in range(iterations):
-        lost = ranks.filter("deg IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         share = ranks.filter("deg IS NOT NULL").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("part"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
         given = links.join(share, ["src", "salt"]).groupBy("dst").agg(F.sum("part").alias("got"))
         base = (1 - alpha) / n + alpha * lost / n
@@ -139,7 +139,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = MAX_ITERAT
         if last is not None:
             release(last)
         ranks, last = nxt.select("id", "deg", "rank"), nxt
-        if tolerance is not None and nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
+        moved, lost = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        if tolerance is not None and moved < tolerance:
             break
     return ranks.select("id", "rank")
 

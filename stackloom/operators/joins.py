@@ -11,7 +11,7 @@ def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, sta
     """points LEFT JOIN the narrowest range that holds them: all columns of points, then those of the range with ``r_`` before.
 
     An equi-join on (by, level, block) with the bounds as a residual condition. A
-    range's level is the power of two from its width on; blocks of a level are as
+    range's level is the power of four from its width on; blocks of a level are as
     wide, so a range stands in two blocks at most however long it is, and in a
     block a point meets only ranges of about the block's width. Both ends count.
     Among equally narrow ranges the first by ``order`` wins. With ``strict`` the
@@ -20,8 +20,8 @@ def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, sta
     """
     r = ranges.select(*[F.col(c).alias(f"r_{c}") for c in ranges.columns]).filter(F.col(f"r_{end}") >= F.col(f"r_{start}"))
     low, high = F.col(f"r_{start}").cast("bigint"), F.col(f"r_{end}").cast("bigint")
-    r = r.withColumn("__l", F.ceil(F.log2((high - low + 1).cast("double"))).cast("int"))
-    levels = sorted(x[0] for x in r.select("__l").distinct().collect())  # 64 at most
+    r = r.withColumn("__l", (F.ceil(F.log2((high - low + 1).cast("double")) / 2) * 2).cast("int"))
+    levels = sorted(x[0] for x in r.select("__l").distinct().collect())  # 32 at most
     r = r.withColumn("__b", F.explode(F.array_distinct(F.array(F.expr(f"shiftright(cast(r_{start} as bigint), __l)"), F.expr(f"shiftright(cast(r_{end} as bigint), __l)")))))
     p = points.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__b", F.expr(f"shiftright(cast({at} as bigint), __l)"))
     cond = (p["__l"] == r["__l"]) & (p["__b"] == r["__b"]) & (p[at] >= r[f"r_{start}"]) & (p[at] <= r[f"r_{end}"])

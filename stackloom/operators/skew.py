@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy from this share of all rows on, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 1 / 1024
+#: A key of fewer rows than this is not worth spreading, whatever its share.
+HEAVY_ROWS = 10_000
 
 
 def _named(keys: list[str]) -> Column:
@@ -28,12 +30,12 @@ def heavy_light_join(fact: DataFrame, dim: DataFrame, keys: list[str], rows_col:
     return fact.join(heavy, keys).unionByName(rest.join(light, keys))
 
 
-def heavy_copies(counts: DataFrame, keys: list[str], rows_col: str, total_rows: int) -> DataFrame | None:
-    """Of keys with at least ``HEAVY_SHARE`` of all rows: keys and __copies, one for every such share; None where no key is heavy.
+def heavy_copies(counts: DataFrame, keys: list[str], rows_col: str, total_rows: int, least: int = HEAVY_ROWS) -> DataFrame | None:
+    """Of keys with at least ``HEAVY_SHARE`` of all rows and ``least`` rows: keys and __copies, one for every such share; None where no key is heavy.
 
     These are 1,024 keys at most by counting, so their names may come to the driver.
     """
-    floor = max(2, int(total_rows * HEAVY_SHARE))
+    floor = max(least, int(total_rows * HEAVY_SHARE))
     named = counts.filter(_named(keys)).filter(F.col(rows_col) >= floor).select(*keys, F.expr(f"cast({rows_col} div {floor} + 1 as int)").alias("__copies"))
     found = named.collect()
     return counts.sparkSession.createDataFrame(found, named.schema) if found else None

@@ -158,6 +158,20 @@ def test_containment_of_long_nested_and_negative_ranges(spark):
     assert {r["p"]: r["r_r"] for r in got.collect()} == want
 
 
+def test_heavy_keys_are_salted(spark):
+    from stackloom.operators import skew
+
+    fact = spark.createDataFrame([("hot" if i % 3 else f"k{i % 9}", i) for i in range(300)] + [(None, 1000)], "k string, i int")
+    dim = spark.createDataFrame([("hot", "H"), ("k0", "a"), ("k3", "b"), ("none", "c"), (None, "d")], "k string, v string")
+    counts = fact.groupBy("k").agg(F.count("*").alias("rows"))
+    want = sorted(map(tuple, fact.join(dim, "k").collect()))
+    assert skew.heavy_copies(counts, ["k"], "rows", 300) is None
+    heavy = skew.heavy_copies(counts, ["k"], "rows", 300, least=50)
+    assert {r["k"]: r["__copies"] for r in heavy.collect()} == {"hot": 5}
+    for h in (None, heavy):
+        assert sorted(map(tuple, skew.salted_join(fact, dim, ["k"], h, ["i"]).collect())) == want
+
+
 def test_diff(spark):
     side = lambda n, cx, smells: {"entries": spark.createDataFrame([("A::f", cx)], "entry string, complexity bigint"), "categories": spark.createDataFrame([("A::f", "db", n), ("A::f", "io", 2)], "entry string, category string, n bigint"), "smells": spark.createDataFrame(smells, "entry string, node string, smell string")}
     a, b = side(1, 5, [("A::f", "x", "recursive")]), side(4, 7, [("A::f", "y", "n_plus_one")])
