@@ -38,7 +38,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_no_query_is_empty_on_both_sides(duck):
     for name, sql in SQL.items():
-        assert duck.sql(f"SELECT count(*) FROM ({sql.replace(chr(10), ' ')})").fetchone()[0], name
+        assert duck.sql(sql).limit(1).fetchall(), name
 
 
 def test_contract(spark):
