@@ -178,3 +178,27 @@ def test_diff(spark):
     got = {(r["kind"], r["delta"], r["verdict"]) for r in R.diff_reports(a, b).collect()}
     assert got == {("category_db", 3, "regression"), ("smell", 1, "regression"), ("smell", -1, "improvement"), ("complexity", 2, "regression")}
     assert R.diff_reports(a, a).collect() == []
+
+
+def test_many_trees_share_one_copy_of_the_graph(spark, monkeypatch):
+    """The walk gets no list of (root, vertex) pairs, which is roots times the graph; ties, repeats, odd roots and shares are as in the plain walk."""
+    monkeypatch.setattr(G, "reachable", lambda *_: pytest.fail("pairs of roots and vertices"))
+    monkeypatch.setattr(G, "TREE_BATCH", 7)
+    edges = random_edges(11, 40, 120) + [("v00", "v01"), ("v00", "v01"), ("é", "v02")]
+    rows = [(a, b, i // 2 if i < 20 else i) for i, (a, b) in enumerate(edges)]  # two calls each of the first twenty at one place
+    e = spark.createDataFrame([*rows, ("v03", "v04", None), ("v03", None, 5), (None, "v05", 6)], "src string, dst string, ord bigint")
+    roots = [f"v{i:02d}" for i in range(40)] + ["é", "alone", "v07"]
+    v = spark.createDataFrame([(r,) for r in roots], "id string")
+    ordered = [(a, b) for a, b, _ in sorted(rows, key=lambda r: (r[2], r[1]))] + [("v03", "v04")]
+    for depth in (1, 5):
+        got = G.expand_trees(v, e, max_depth=depth, shares=True)
+        assert sorted(map(tuple, G.tree_percentages(got.drop("percent_total", "percent_parent")).select(got.columns).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+        trees = got.collect()
+        assert {r["root"] for r in trees} == set(roots)
+        for root in set(roots):
+            mine = sorted((r for r in trees if r["root"] == root), key=lambda r: r["node_ord"])
+            assert [(r["id"], r["depth"], r["truncated"]) for r in mine] == tree_model(ordered, root, depth)
+            assert [r["node_ord"] for r in mine] == list(range(len(mine))) and mine[0]["parent_ord"] is None
+    skipped = G.expand_trees(v, e, accessors=spark.createDataFrame([("v01",)], "id string")).collect()
+    assert {r["root"] for r in skipped if r["id"] == "v01"} == {"v01"}
+    assert G.expand_trees(v.limit(0), e).collect() == []
