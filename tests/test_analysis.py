@@ -162,3 +162,15 @@ def test_stream_sinks_and_progress(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap")).first()["qualname"] == "f"
     assert [r["ncalls"] for r in spark.read.json(str(tmp_path / "log")).collect()] == [2]
     assert {e[0] for e in seen} >= {"started", "progress"} and sum(e[3] for e in seen) == 1
+
+
+def test_files_of_one_split_are_parsed_on_all_cores(spark, monkeypatch):
+    """A compressed table of many small files is one split or two; parsing all of them there is what takes longest."""
+    parts, plain = [], code.extract
+    monkeypatch.setattr(code, "extract", lambda files: parts.append(files.rdd.glom().map(len).collect()) or plain(files))
+    text = "def load_{k}(ids):\n    return ids\n\ndef handle_{k}(ids):\n    return load_{k}(ids)\n"
+    files = spark.createDataFrame([(f"src/p{k}.py", text.replace("{k}", str(k))) for k in range(40)], "path string, content string").coalesce(1)
+    got = A.analyze(files)
+    assert len(parts) == 1 and sum(parts[0]) == 40 and max(parts[0]) < 40
+    assert {(r["src"], r["dst"]) for r in got["edges"].collect()} == {(f"src/p{k}.py::::handle_{k}", f"src/p{k}.py::::load_{k}") for k in range(40)}
+    assert got["roots"].count() == 40 and got["trees"].count() == 80
