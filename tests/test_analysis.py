@@ -174,3 +174,18 @@ def test_files_of_one_split_are_parsed_on_all_cores(spark, monkeypatch):
     assert len(parts) == 1 and sum(parts[0]) == 40 and max(parts[0]) < 40
     assert {(r["src"], r["dst"]) for r in got["edges"].collect()} == {(f"src/p{k}.py::::handle_{k}", f"src/p{k}.py::::load_{k}") for k in range(40)}
     assert got["roots"].count() == 40 and got["trees"].count() == 80
+
+
+def test_code_analysis_of_a_one_split_table_is_spread_and_whole(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    parts, plain = [], code.extract
+    monkeypatch.setattr(code, "extract", lambda files: parts.append(files.rdd.glom().map(len).collect()) or plain(files))
+    duckdb.sql(f"COPY (SELECT i * 7 AS p_partkey FROM range(32) r(i)) TO '{tmp_path}/part.parquet'")
+    got = sorted(map(tuple, entry.queries()["code_analysis"](spark, str(tmp_path)).collect()))
+    assert len(parts) == 1 and sum(parts[0]) == 32 and max(parts[0]) < 32
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    assert got == sorted(sql.sql(entry.oracle_sql()["code_analysis"]).fetchall())
