@@ -189,3 +189,24 @@ def test_code_analysis_of_a_one_split_table_is_spread_and_whole(spark, tmp_path,
     sql = duckdb.connect()
     sql.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
     assert got == sorted(sql.sql(entry.oracle_sql()["code_analysis"]).fetchall())
+
+
+def test_a_scan_looks_for_components_once_and_detects_in_a_small_plan(spark, monkeypatch):
+    """Plans and jobs are held by the driver: none of them may be made once for each detector."""
+    from stackloom.operators import findings as FD, graph
+
+    found, plans, components, detect = [], [], graph.strong_components, FD.detect
+    monkeypatch.setattr(graph, "strong_components", lambda edges: found.append(1) or components(edges))
+
+    def watched(*args):
+        got = detect(*args)
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    monkeypatch.setattr(FD, "detect", watched)
+    text = "import logging\nlog = logging.getLogger('a')\n\ndef load_{k}(ids):\n    for i in ids:\n        session.execute(i)\n        log.info(i)\n    return load_{k}(ids)\n"
+    files = spark.createDataFrame([(f"src/p{k}.py", text.replace("{k}", str(k))) for k in range(3)], "path string, content string")
+    got = A.analyze(files)["findings"].select("file", "kind", "line", "evidence").collect()
+    each = [("n_plus_one", 6, ["execute"]), ("noisy_log", 7, ["info"]), ("recursive", 4, [])]
+    assert sorted((r["file"], r["kind"], r["line"], r["evidence"]) for r in got) == [(f"src/p{k}.py", *x) for k in range(3) for x in each]
+    assert len(found) == 1 and len(plans) == 1 and plans[0].count("Exchange ") < 20
